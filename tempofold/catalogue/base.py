@@ -92,14 +92,33 @@ logx AS (SELECT *, name = 'job_created' AND k % 5 = 0 AS dedup, CASE WHEN k < 60
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as frames: 64 cells, two hash words and a duration per label."""
+    """Embeddings as frames of 64 cells with their two hash words."""
     from ..functions import hashes
     cells = F.col("embedding")
     return table(spark, sf_dir, "embeddings").select(
         "vec_id", "label", "embedding", hashes.ahash(cells).alias("aword"), hashes.ring_dhash(cells).alias("dword"))
 
 
-VEC = """vec AS (SELECT vec_id, label, embedding,
-  CAST(array_to_string(list_transform(embedding, lambda x: CASE WHEN CAST(x AS DOUBLE) > list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE))) / 64 THEN '1' ELSE '0' END), '') AS BIT) AS abits,
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding as an upload, a re-encode of it with a few cells turned over, and some byte copies."""
+    e = table(spark, sf_dir, "embeddings").withColumn("kind", F.explode(F.when(
+        F.col("vec_id") % 10 == 0, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    turned = F.transform("embedding", lambda x, i: F.when((i + F.col("vec_id")) % 21 == 0, -x).otherwise(x))
+    from ..functions import hashes
+    cells = F.when(F.col("kind") == 1, turned).otherwise(F.col("embedding"))
+    e = e.withColumn("cells", cells)
+    return e.select((F.col("vec_id") * 4 + F.col("kind")).alias("vec_id"), F.lit(None).cast("string").alias("sha256"),
+                    (F.col("label") * 0.125 + F.when(F.col("kind") == 1, 0.25).otherwise(0.0)).alias("duration_s"),
+                    F.array(hashes.ahash(F.col("cells"))).alias("ahash"), F.array(hashes.ring_dhash(F.col("cells"))).alias("dhash"))
+
+
+def _bits(source: str) -> str:
+    return f"""SELECT *, CAST(array_to_string(list_transform(embedding, lambda x: CASE WHEN CAST(x AS DOUBLE) > list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE))) / 64 THEN '1' ELSE '0' END), '') AS BIT) AS abits,
   CAST(array_to_string(list_transform(range(0, 64), lambda i: CASE WHEN embedding[(i + 1) % 64 + 1] > embedding[i + 1] THEN '1' ELSE '0' END), '') AS BIT) AS dbits
-  FROM embeddings)"""
+  FROM {source}"""
+
+
+VEC = f"vec AS ({_bits('embeddings')})"
+UPL = f"""raw AS (SELECT vec_id, label, kind, CASE WHEN kind = 1 THEN list_transform(range(0, 64), lambda i: CASE WHEN (i + vec_id) % 21 = 0 THEN -embedding[i + 1] ELSE embedding[i + 1] END) ELSE embedding END AS embedding
+    FROM embeddings, range(0, 3) r(kind) WHERE kind < 2 OR vec_id % 10 = 0),
+  bit AS ({_bits('raw')}), vec AS (SELECT vec_id * 4 + kind AS vec_id, label * 0.125 + CASE WHEN kind = 1 THEN 0.25 ELSE 0 END AS dur, abits, dbits FROM bit)"""

@@ -358,7 +358,7 @@ def beat_index(spark, d):
   c AS (SELECT *, CASE WHEN second > 0 THEN list_max(s) / second ELSE 1 END AS margin, CASE WHEN votes > 0 THEN list_position(v, list_max(v)) - 1 ELSE kick END AS model FROM b),
   e AS (SELECT *, CASE WHEN margin >= 1.1 THEN kick ELSE model END AS k, least(1, greatest(0, (margin - 1) / 0.3)) AS strength FROM c)
   SELECT user_id, CAST(k AS BIGINT) AS k, round(margin, 4) AS margin, round(phase + spc * k, 3) AS count_one,
-    round(CASE WHEN votes > 0 AND k = kick AND kick = model THEN 0.5 + 0.5 * least(strength, v[k + 1] / votes) ELSE 0.4 * abs(strength - CASE WHEN votes > 0 THEN v[model + 1] / votes ELSE 0 END) END, 2) AS sure
+    round_even(CASE WHEN votes > 0 AND k = kick AND kick = model THEN 0.5 + 0.5 * least(strength, v[k + 1] / votes) ELSE 0.4 * abs(strength - CASE WHEN votes > 0 THEN v[model + 1] / votes ELSE 0 END) END, 3) AS sure
   FROM e WHERE n >= 8""")
 def phase_vote(spark, d):
     b = _beats(spark, d)
@@ -368,7 +368,7 @@ def phase_vote(spark, d):
     acc = series.indexed(b.select("user_id", "h", F.col("value").alias("accent")), ["user_id"], "h", width_s=24.0).select("user_id", F.col("idx").alias("i"), "accent")
     out = grid.phase_vote(fits, counts, acc, b.filter("event_type = 'signup'"), "user_id", "h", width_s=24.0)
     return out.select("user_id", F.col("k").cast("bigint").alias("k"), F.round("margin", 4).alias("margin"),
-                      F.round("count_one_s", 3).alias("count_one"), F.round("count_one_confidence", 2).alias("sure"))
+                      F.round("count_one_s", 3).alias("count_one"), F.round("count_one_confidence", 3).alias("sure"))
 
 
 @query("tempo_alternates", f"""WITH {BEATS} SELECT user_id, CASE WHEN n < 4 THEN 'few' WHEN 60 / spc BETWEEN 70 AND 180 THEN 'plain' ELSE 'odd' END AS kind,

@@ -1,4 +1,4 @@
 """Importing this package fills the registry in ``base``."""
 
-from . import evaluation, events, identity, jobs, series, textual  # noqa: F401
+from . import evaluation, events, identity, jobs, motion, series, textual  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401

@@ -126,12 +126,12 @@ def beat_regularity(spark, d):
 
 @query("jitter", f"""WITH {EV}, p AS (SELECT user_id % 10 AS key, event_type AS joint, value, row_number() OVER (PARTITION BY user_id % 10, event_type ORDER BY t, event_id) - 1 AS i FROM ev),
   s AS (SELECT key, i, abs(value - lag(value) OVER (PARTITION BY key, joint ORDER BY i)) AS st FROM p), f AS (SELECT key, i, avg(st) AS a, max(st) AS m FROM s WHERE st IS NOT NULL GROUP BY 1, 2)
-  SELECT key, round(avg(a), 4) AS mean, round(avg(m), 4) AS max_mean, round(max(m) * 15, 4) AS worst_speed, round(quantile_cont(a, 0.9), 4) AS mean_p90, round(quantile_cont(m, 0.99), 4) AS max_p99 FROM f GROUP BY 1""")
+  SELECT key, round(avg(a), 6) AS mean, round(avg(m), 6) AS max_mean, round(max(m) * 15, 4) AS worst_speed, round(quantile_cont(a, 0.9), 4) AS mean_p90, round(quantile_cont(m, 0.99), 4) AS max_p99 FROM f GROUP BY 1""")
 def jitter(spark, d):
     e = events(spark, d).withColumn("key", F.col("user_id") % 10)
     x = series.indexed(e, ["key", "event_type"], "t", ["event_id"], DAY)
     j = ev.jitter(x, ["key"], "event_type", ["value"], 15.0)
-    return j.select("key", *[F.round(c, 4).alias(c) for c in ("mean", "max_mean", "worst_speed", "mean_p90", "max_p99")])
+    return j.select("key", *[F.round(c, 6 if c in ("mean", "max_mean") else 4).alias(c) for c in ("mean", "max_mean", "worst_speed", "mean_p90", "max_p99")])
 
 
 @query("accent_retention", f"""WITH {EV}, s AS (SELECT user_id, value, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, avg(value) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS sm,

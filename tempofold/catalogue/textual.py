@@ -56,10 +56,10 @@ def url_keys(spark, d):
 
 
 @query("host_filter", r"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS h FROM pages)
-  SELECT page_id, h = 'example.com' OR h LIKE '%.example.com' OR h = 'example.org' OR h LIKE '%.example.org' AS allowed, CASE WHEN h = 'spam-farm.example.org' THEN '' ELSE h END AS referrer FROM p""")
+  SELECT page_id, h IN ('spam-farm.example.org', 'www.cheap-pills.example.com') AS allowed, CASE WHEN h = 'spam-farm.example.org' THEN '' ELSE h END AS referrer FROM p""")
 def host_filter(spark, d):
     u = F.col("url")
-    return table(spark, d, "pages").select("page_id", text.host_allowed(u, ("example.com", "example.org")).alias("allowed"),
+    return table(spark, d, "pages").select("page_id", text.host_allowed(u, ("spam-farm.example.org", "www.cheap-pills.example.com")).alias("allowed"),
                                            text.referrer_host(u, "Spam-Farm.example.org").alias("referrer"))
 
 

@@ -1,79 +1,94 @@
-"""Vectors and quaternions (x, y, z, w) as struct columns."""
+"""Vectors and quaternions (x, y, z, w) as column parts and struct columns."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, functions as F
 
 
-def vec(x, y, z) -> Column:
-    return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
+Parts = Mapping[str, Column]  # x, y, z and maybe w; a struct column works in its place
+
+
+def vec(x, y, z) -> Parts:
+    return {"x": x, "y": y, "z": z}
+
+
+def quat(x, y, z, w) -> Parts:
+    return {"x": x, "y": y, "z": z, "w": w}
+
+
+def pack(p: Parts) -> Column:
+    """Parts as one struct column. Arithmetic stays on parts: nested structs would
+    repeat the whole expression once per field."""
+    return F.struct(*[c.alias(f) for f, c in p.items()])
 
 
-def quat(x, y, z, w) -> Column:
-    return F.struct(x.alias("x"), y.alias("y"), z.alias("z"), w.alias("w"))
+def fields(names: str, prefix: str = "") -> Parts:
+    """Parts from columns named prefix + x, y, ..."""
+    return {f: F.col(prefix + f) for f in names}
 
 
-def from_array(a: Column, n: int = 3) -> Column:
-    parts = [F.get(a, F.lit(i)).cast("double") for i in range(n)]
-    return vec(*parts) if n == 3 else quat(*parts)
+def from_array(a: Column, n: int = 3) -> Parts:
+    return dict(zip("xyzw", [F.get(a, F.lit(i)).cast("double") for i in range(n)]))
 
 
-def add(a: Column, b: Column) -> Column:
-    return vec(a["x"] + b["x"], a["y"] + b["y"], a["z"] + b["z"])
+def add(a, b) -> Parts:
+    return {f: a[f] + b[f] for f in "xyz"}
 
 
-def sub(a: Column, b: Column) -> Column:
-    return vec(a["x"] - b["x"], a["y"] - b["y"], a["z"] - b["z"])
+def sub(a, b) -> Parts:
+    return {f: a[f] - b[f] for f in "xyz"}
 
 
-def dot(a: Column, b: Column) -> Column:
+def dot(a, b) -> Column:
     return a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
 
 
-def cross(a: Column, b: Column) -> Column:
+def cross(a, b) -> Parts:
     return vec(a["y"] * b["z"] - a["z"] * b["y"], a["z"] * b["x"] - a["x"] * b["z"], a["x"] * b["y"] - a["y"] * b["x"])
 
 
-def norm(a: Column) -> Column:
+def norm(a) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def conj(q: Column) -> Column:
+def conj(q) -> Parts:
     return quat(-q["x"], -q["y"], -q["z"], q["w"])
 
 
-def mul(a: Column, b: Column) -> Column:
+def mul(a, b) -> Parts:
     """Hamilton product: the scalar part and the vector part of a * b."""
     v = add(add(_scale(b, a["w"]), _scale(a, b["w"])), cross(a, b))
-    return quat(v["x"], v["y"], v["z"], a["w"] * b["w"] - dot(a, b))
+    return {**v, "w": a["w"] * b["w"] - dot(a, b)}
 
 
-def _scale(a: Column, k: Column) -> Column:
-    return vec(a["x"] * k, a["y"] * k, a["z"] * k)
+def _scale(a, k: Column) -> Parts:
+    return {f: a[f] * k for f in "xyz"}
 
 
-def rotate(q: Column, v: Column) -> Column:
+def rotate(q, v) -> Parts:
     """v turned by unit q: v + 2w (u x v) + 2 u x (u x v), u the vector part."""
     uv = cross(q, v)
     return add(v, add(_scale(uv, 2 * q["w"]), _scale(cross(q, uv), F.lit(2.0))))
 
 
-def normalise(q: Column) -> Column:
+def normalise(q) -> Parts:
     n = F.sqrt(dot(q, q) + q["w"] * q["w"])
-    return quat(q["x"] / n, q["y"] / n, q["z"] / n, q["w"] / n)
+    return {f: q[f] / n for f in "xyzw"}
 
 
-def rounded(s: Column, fields: str, places: int = 6) -> Column:
-    return F.struct(*[F.bround(s[f], places).alias(f) for f in fields])
+def rounded(s, names: str, places: int = 6) -> Column:
+    return F.struct(*[F.bround(s[f], places).alias(f) for f in names])
 
 
-def angle_deg(a: Column, b: Column) -> Column:
+def angle_deg(a, b) -> Column:
     """Rotation angle between two unit quaternions."""
     d = F.least(F.lit(1.0), F.abs(dot(a, b) + a["w"] * b["w"]))
     return F.degrees(2 * F.acos(d))
 
 
-def slerp(a: Column, b: Column, u: Column) -> Column:
+def slerp(a, b, u: Column) -> Parts:
     """Spherical blend along the short arc; near-parallel ends blend linearly."""
     d0 = dot(a, b) + a["w"] * b["w"]
     sign = F.when(d0 < 0, -1.0).otherwise(1.0)
@@ -85,16 +100,16 @@ def slerp(a: Column, b: Column, u: Column) -> Column:
     return normalise(quat(*[ka * a[f] + kb * b[f] for f in "xyzw"]))
 
 
-def plane_distance(p: Column, origin: Column, normal: Column) -> Column:
+def plane_distance(p, origin, normal) -> Column:
     return dot(sub(p, origin), normal)
 
 
-def tilt_deg(normal: Column) -> Column:
+def tilt_deg(normal) -> Column:
     """Angle between a unit normal and +Y."""
     return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), normal["y"]))))
 
 
-def to_frame(camera: Column, p: Column) -> Column:
+def to_frame(camera: Column, p) -> Column:
     """Pinhole projection to pixels; null behind the camera.
 
     ``camera`` has fx, fy, cx, cy and ``m``, the column-major camera-to-world
@@ -108,13 +123,13 @@ def to_frame(camera: Column, p: Column) -> Column:
                                          (camera["cy"] - camera["fy"] * cam["y"] / depth).alias("y")))
 
 
-def to_frame_norm(camera: Column, p: Column) -> Column:
+def to_frame_norm(camera: Column, p) -> Column:
     """Projection in [0,1] of the reference frame (``w``, ``h`` in ``camera``)."""
     uv = to_frame(camera, p)
     return F.when(uv.isNotNull(), F.struct((uv["x"] / camera["w"]).alias("x"), (uv["y"] / camera["h"]).alias("y")))
 
 
-def box_to_frame(camera: Column, lo: Column, hi: Column) -> Column:
+def box_to_frame(camera: Column, lo, hi) -> Column:
     """Frame rectangle around a world box's eight corners; null if any is behind the camera."""
     corners = [to_frame_norm(camera, vec(*[(hi if c >> i & 1 else lo)[f] for i, f in enumerate("xyz")]))
                for c in range(8)]

@@ -44,7 +44,7 @@ def object_owner(keys: DataFrame, key: str = "key") -> DataFrame:
 def asset_key(asset: Column) -> Column:
     """Storage key of an asset id; null when it names nothing stored."""
     return (F.when(asset.startswith("video:"), F.concat(F.lit("video/"), F.substring_index(asset, ":", -1), F.lit(".mp4")))
-            .when(asset.startswith("audio:"), F.concat(F.lit("audio/"), F.substring_index(asset, ":", -1), F.lit(".m4a")))
+            .when(asset.startswith("audio:"), F.concat(F.lit("video/"), F.substring_index(asset, ":", -1), F.lit(".audio.m4a")))
             .when(asset.endswith(".glb"), F.concat(F.lit("glb/"), asset)))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, functions as F
 
@@ -88,16 +88,27 @@ def angle_deg(a, b) -> Column:
     return F.degrees(2 * F.acos(d))
 
 
-def slerp(a, b, u: Column) -> Parts:
-    """Spherical blend along the short arc; near-parallel ends blend linearly."""
-    d0 = dot(a, b) + a["w"] * b["w"]
-    sign = F.when(d0 < 0, -1.0).otherwise(1.0)
-    d = F.least(F.lit(1.0), F.abs(d0))
-    th = F.acos(d)
-    flat = d > 0.9995
-    ka = F.when(flat, 1 - u).otherwise(F.sin((1 - u) * th) / F.sin(th))
-    kb = sign * F.when(flat, u).otherwise(F.sin(u * th) / F.sin(th))
-    return normalise(quat(*[ka * a[f] + kb * b[f] for f in "xyzw"]))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def slerp(a, b, u: Column) -> Column:
+    """Spherical blend along the short arc as a struct; near-parallel ends blend linearly."""
+    four = lambda p, q: dot(p, q) + p["w"] * q["w"]
+
+    def weights(e):
+        d, turn = F.least(F.lit(1.0), F.abs(e["d"])), e["u"]
+        th, flat = F.acos(d), d > 0.9995
+        ka = F.when(flat, 1 - turn).otherwise(F.sin((1 - turn) * th) / F.sin(th))
+        kb = F.when(flat, turn).otherwise(F.sin(turn * th) / F.sin(th)) * F.when(e["d"] < 0, -1.0).otherwise(1.0)
+        return F.struct(e["a"].alias("a"), e["b"].alias("b"), ka.alias("ka"), kb.alias("kb"))
+
+    def blend(e):
+        return F.struct(*[(e["ka"] * e["a"][f] + e["kb"] * e["b"][f]).alias(f) for f in "xyzw"])
+
+    ends = F.struct(pack({f: a[f] for f in "xyzw"}).alias("a"), pack({f: b[f] for f in "xyzw"}).alias("b"), u.alias("u"), four(a, b).alias("d"))
+    return let(ends, lambda e: let(weights(e), lambda w: let(blend(w), lambda q: pack(normalise(q)))))
 
 
 def plane_distance(p, origin, normal) -> Column:

@@ -74,19 +74,30 @@ def row_frames(df: DataFrame, keys: Sequence[str], halo: int,
     ``build`` gets ``frame(lo, hi)`` (a window spec) and returns name -> column;
     ``frame(None, None)`` is the bare ordered spec for lag and lead.
     """
+    spread, spec = spread_runs(df, keys, halo, idx, run)
+
+    def frame(lo: int | None, hi: int | None):
+        return spec if lo is None else spec.rowsBetween(lo, hi)
+
+    return keep_home(spread.withColumns(dict(build(frame))), idx, run)
+
+
+def spread_runs(df: DataFrame, keys: Sequence[str], halo: int, idx: str = "idx", run: int = RUN_ROWS) -> tuple[DataFrame, W]:
+    """Rows copied to every run within ``halo`` of them, and the ordered window of one run.
+
+    For work in several window steps: they share the window, so they share one
+    shuffle; ``halo`` must cover their reaches together. End with ``keep_home``.
+    """
     if halo > run:
         raise ValueError("halo must fit inside one run")
     home = F.floor(F.col(idx) / F.lit(run))
     near = F.array_distinct(F.array(F.floor((F.col(idx) - halo) / F.lit(run)), home,
                                     F.floor((F.col(idx) + halo) / F.lit(run))))
-    spread = df.withColumn("_run", F.explode(near)).filter("_run >= 0")
-    spec = W.partitionBy(*keys, "_run").orderBy(idx)
+    return df.withColumn("_run", F.explode(near)).filter("_run >= 0"), W.partitionBy(*keys, "_run").orderBy(idx)
 
-    def frame(lo: int | None, hi: int | None):
-        return spec if lo is None else spec.rowsBetween(lo, hi)
 
-    made = build(frame)
-    return spread.withColumns(dict(made)).filter(F.col("_run") == home).drop("_run")
+def keep_home(df: DataFrame, idx: str = "idx", run: int = RUN_ROWS) -> DataFrame:
+    return df.filter(F.col("_run") == F.floor(F.col(idx) / F.lit(run))).drop("_run")
 
 
 def time_frames(df: DataFrame, keys: Sequence[str], t: str, halo_s: float, width_s: float,

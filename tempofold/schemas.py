@@ -34,7 +34,6 @@ COUNT_LABEL = _s(("clip", STR), ("job_id", STR), ("count_one_s", DBL), ("raw", D
                  ("labelled_at", STR), ("source", STR))
 LABEL_FILE = _s(("labels", T.ArrayType(COUNT_LABEL)))
 BEAT_TRACK = _s(("beats", DOUBLES), ("downbeats", DOUBLES), ("accents", DOUBLES))
-BEAT_FILE = T.MapType(STR, BEAT_TRACK)
 GATE_RESULT = _s(("clip", STR), ("accept", BOOL), ("reasons", STRINGS),
                  ("scores", _s(("dance", DBL), ("still", DBL), ("nsfw", DBL), ("person", DBL), ("limb", DBL))), ("seconds", T.MapType(STR, DBL)))
 CLIP_MANIFEST = _s(("id", STR), ("url", STR), ("title", STR), ("why", STR), ("rights", STR), ("notes", STR), ("duration_s", DBL), ("tests", STRINGS))

@@ -73,10 +73,10 @@ def document_roundtrip(spark, d):
 
 def _documents(spark, d):
     """Nested documents with faults planted by clip."""
-    rig = _rig(spark, d).agg(F.array_sort(F.collect_list(F.struct(F.col("joint_idx").alias("index"), F.col("parent_idx").alias("parent_index"), F.concat(F.lit("j"), F.col("joint_idx").cast("string")).alias("name")))).alias("_j")).withColumn("_one", F.lit(1))
+    rig = _rig(spark, d).agg(F.array_sort(F.collect_list(F.struct(F.col("joint_idx").alias("index"), F.col("parent_idx").alias("parent_index"), F.concat(F.lit("j"), F.col("joint_idx").cast("string")).alias("name")))).alias("_j"))
     lab = F.substring_index("clip_id", "-", 1).cast("int")
     times = _rows(spark, d).groupBy("clip_id").agg(F.max("t").alias("end_s"), F.min("t").alias("one_s"))
-    meta = times.withColumn("_one", F.lit(1)).join(F.broadcast(rig), "_one").withColumn("lab", lab)
+    meta = times.withColumn("_j", rig.scalar()).withColumn("lab", lab)
     bad = F.transform("_j", lambda j, i: F.struct(F.when((F.col("lab") == 2) & (i == 3), 99).otherwise(j["index"]).alias("index"), j["parent_index"], j["name"]))
     floor = F.struct(F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0)).alias("normal"), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("point"))
     total = C.count_total(F.col("one_s"), F.lit(0.5), F.col("end_s")) + F.when(F.col("lab") == 4, 1).otherwise(0)

@@ -362,11 +362,9 @@ def beat_index(spark, d):
   FROM e WHERE n >= 8""")
 def phase_vote(spark, d):
     b = _beats(spark, d)
-    fits, x = grid.fit(b, "user_id", "h", width_s=24.0)
-    fits = fits.filter("n >= 8").withColumn("half", F.lit(False))
-    counts = grid.count_times(fits, x.join(fits.select("user_id"), "user_id", "left_semi"), "user_id", "h")
-    acc = series.indexed(b.select("user_id", "h", F.col("value").alias("accent")), ["user_id"], "h", width_s=24.0).select("user_id", F.col("idx").alias("i"), "accent")
-    out = grid.phase_vote(fits, counts, acc, b.filter("event_type = 'signup'"), "user_id", "h", width_s=24.0)
+    fits, x = grid.fit(b.withColumn("accent", F.col("value")), "user_id", "h", width_s=24.0, payload=["accent"], materialise=True)
+    # Without downbeats no track reads as half-time, so the beats are the counts.
+    out = grid.phase_vote(fits.filter("n >= 8"), x, None, b.filter("event_type = 'signup'"), "user_id", "h", width_s=24.0)
     return out.select("user_id", F.col("k").cast("bigint").alias("k"), F.round("margin", 4).alias("margin"),
                       F.round("count_one_s", 3).alias("count_one"), F.round("count_one_confidence", 3).alias("sure"))
 

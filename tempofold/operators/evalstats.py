@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.quat import let
 from . import ordered, series
 from .quantiles import exact_quantiles, value_bin
 
@@ -230,10 +231,8 @@ def band_power(df: DataFrame, keys: Sequence[str], value: str, fps: float, low:
 def suppression_counts(samples: DataFrame, by: str, top: int = 8) -> DataFrame:
     """Suppressed samples per value of ``by`` with their share; the ``top`` most frequent."""
     g = samples.groupBy(by).agg(F.count_if(F.col("suppressed").isNotNull()).alias("n"), F.count("*").alias("_g"))
-    # One row of one number, attached by a constant key.
-    every = g.agg(F.sum("_g").alias("_all")).withColumn("_one", F.lit(1))
-    return g.withColumn("_one", F.lit(1)).join(F.broadcast(every), "_one").select(
-        by, "n", (F.col("n") / F.col("_all")).alias("share")).orderBy(F.col("n").desc(), by).limit(top)
+    every = g.agg(F.sum("_g"))
+    return g.select(by, "n", (F.col("n") / every.scalar()).alias("share")).orderBy(F.col("n").desc(), by).limit(top)
 
 
 def null_distribution(grids: DataFrame, hits: DataFrame, onsets: DataFrame, key: str, t: str, tol_max: float, replicates: int = 200,
@@ -258,18 +257,24 @@ def zero_shot(frames: DataFrame, prompts: DataFrame, clip: str, vec: str, scale:
     """Softmax share of the positive prompts, averaged over a clip's frames.
 
     ``prompts`` (prompt vector, positive flag) is a fixed short list; it is packed
-    into one row and reaches the frames as a constant. Unit vectors on both sides.
+    into one value and reaches the frames as a scalar subquery. Unit vectors on both sides.
     """
-    unit = lambda a: F.transform(a, lambda x: x.cast("double") / F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))))
-    packed = prompts.select(F.col("positive"), unit(F.col("prompt")).alias("p")).agg(F.collect_list(F.struct("p", "positive")).alias("_prompts"))
-    j = frames.withColumn("_u", unit(F.col(vec))).withColumn("_one", F.lit(1)).join(F.broadcast(packed.withColumn("_one", F.lit(1))), "_one")
-    logits = F.transform("_prompts", lambda q: F.struct((scale * F.aggregate(F.zip_with("_u", q["p"], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)).alias("z"), q["positive"].alias("pos")))
-    j = j.withColumn("_z", logits).withColumn("_top", F.array_max(F.transform("_z", lambda q: q["z"])))
-    e = F.transform("_z", lambda q: F.struct(F.exp(q["z"] - F.col("_top")).alias("e"), q["pos"].alias("pos")))
-    j = j.withColumn("_e", e)
-    total = lambda f: F.aggregate("_e", F.lit(0.0), lambda s, q: s + f(q))
-    share = total(lambda q: F.when(q["pos"], q["e"]).otherwise(0.0)) / total(lambda q: q["e"])
-    return j.groupBy(clip).agg(F.avg(share).alias("score"), F.count("*").alias("frames"))
+    def dot(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+    def shares(z: Column) -> Column:
+        """Positive share of a softmax over (z, pos) entries, shifted by the largest."""
+        return let(F.array_max(F.transform(z, lambda q: q["z"])), lambda top: let(
+            F.transform(z, lambda q: F.struct(F.exp(q["z"] - top).alias("e"), q["pos"].alias("pos"))),
+            lambda e: F.aggregate(e, F.lit(0.0), lambda s, q: s + F.when(q["pos"], q["e"]).otherwise(0.0)) / F.aggregate(e, F.lit(0.0), lambda s, q: s + q["e"])))
+
+    packed = prompts.select("positive", F.col("prompt").alias("p"), F.sqrt(dot(F.col("prompt"), F.col("prompt"))).alias("n")).agg(
+        F.collect_list(F.struct("p", "n", "positive")))
+    v = F.col(vec)
+    logits = let(F.sqrt(dot(v, v)), lambda n: F.transform("_prompts", lambda q: F.struct(
+        (scale * dot(v, q["p"]) / (n * q["n"])).alias("z"), q["positive"].alias("pos"))))
+    j = frames.withColumn("_prompts", packed.scalar()).withColumn("_share", let(logits, shares))
+    return j.groupBy(clip).agg(F.avg("_share").alias("score"), F.count("*").alias("frames"))
 
 
 def interpolation_error(held_out: DataFrame, kept: DataFrame, keys: Sequence[str], group: str, t: str, value: str, width_s: float) -> DataFrame:

@@ -44,21 +44,20 @@ def client_items(batches: DataFrame, body: str = "body") -> DataFrame:
 
     ``props`` is a VARIANT so that JSON types survive to validation.
     """
-    v = F.try_parse_json(F.when(F.octet_length(body) <= MAX_BODY_BYTES, F.col(body)))
-    is_list = F.schema_of_variant(v).startswith("ARRAY")
-    items = F.slice(F.try_variant_get(v, "$", "array<variant>"), 1, MAX_BATCH)
-    kept = batches.withColumn("_items", F.when(is_list, items)).filter(F.col("_items").isNotNull())
+    parsed = F.try_parse_json(F.when(F.octet_length(body) <= MAX_BODY_BYTES, F.col(body)))
+    items = F.slice(F.try_variant_get(parsed, "$", "array<variant>"), 1, MAX_BATCH)
+
+    def text(v: Column) -> Column:
+        return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+    # Fields are read before the explode, so later rules look at plain columns
+    # instead of digging into the variant again.
+    fields = F.transform(items, lambda i: F.struct(
+        F.schema_of_variant(i).startswith("OBJECT").alias("object"), text(F.try_variant_get(i, "$.name", "variant")).alias("name"),
+        F.try_variant_get(i, "$.props", "variant").alias("props"), text(F.try_variant_get(i, "$.lesson", "variant")).alias("lesson")))
     rest = [c for c in batches.columns if c != body]
-    flat = kept.select(*rest, F.posexplode("_items").alias("pos", "_item"))
-    kind = F.schema_of_variant("_item")
-    return (flat.filter(kind.startswith("OBJECT"))
-            .select(*rest, "pos", F.expr("try_variant_get(_item, '$.name', 'variant')").alias("_name"),
-                    F.expr("try_variant_get(_item, '$.props', 'variant')").alias("props"),
-                    F.expr("try_variant_get(_item, '$.lesson', 'variant')").alias("_lesson"))
-            .select(*rest, "pos",
-                    F.when(F.schema_of_variant("_name") == "STRING", F.expr("variant_get(_name, '$', 'string')")).alias("name"),
-                    "props",
-                    F.when(F.schema_of_variant("_lesson") == "STRING", F.expr("variant_get(_lesson, '$', 'string')")).alias("lesson")))
+    flat = batches.select(*rest, F.posexplode(fields).alias("pos", "_item"))
+    return flat.filter("_item.object").select(*rest, "pos", "_item.name", "_item.props", "_item.lesson")
 
 
 def _prop(props: Column | str, key: str) -> Column:
@@ -316,16 +315,21 @@ def window_load(rows: DataFrame, keys: Sequence[str], t: str, tie: str, spans_s:
     ever materialised, so the span may hold any number of rows.
     """
     by = list(keys)
-    out = ordered.dense_index(rows, by, [t, tie], ordered.time_bucket(t, width_s), idx="_pos")
+    bucket = ordered.time_bucket(t, width_s)
+    out = ordered.dense_index(rows, by, [t, tie], bucket, idx="_pos")
+    # Each mark says: rows up to here are gone, the next one is the oldest left. A
+    # mark before everything stands for "nothing is gone".
+    slim = ordered.dense_index(rows.select(*by, t, tie), by, [t, tie], bucket, idx="_gone")
+    marks = ordered.row_frames(slim, by, 1, lambda frame: {"_oldest": F.lead(t).over(frame(None, None))}, idx="_gone").select(
+        *by, F.col(t).alias("_at"), "_gone", "_oldest")
+    start = rows.groupBy(*by).agg(F.min(t).alias("_oldest")).select(
+        *by, (F.col("_oldest") - max(spans_s.values()) - 1).alias("_at"), F.lit(-1).cast("bigint").alias("_gone"), "_oldest")
+    marks = marks.unionByName(start)
     for name, span in spans_s.items():
         probe = out.withColumn("_at", F.col(t) - F.lit(float(span)))
-        marks = out.select(*by, F.col(t).alias("_at"), F.col("_pos").alias("_gone"))
-        probe = ordered.asof(probe, marks, by, "_at", ["_gone"], width_s, tie=["_gone"], out="_past")
-        probe = probe.withColumn(f"n_{name}", F.col("_pos") - F.coalesce(F.col("_past._gone") + 1, F.lit(0))).drop("_past")
-        nxt = out.select(*by, F.col(t).alias("_at"), F.col("_pos").alias("_gone"))
-        probe = ordered.asof(probe, nxt, by, "_at", ["_gone"], width_s, ahead=True, allow_equal=False,
-                             tie=["_gone"], out="_next")
-        out = probe.withColumn(f"oldest_{name}", F.when(F.col(f"n_{name}") > 0, F.col("_next.t"))).drop("_next", "_at")
+        probe = ordered.asof(probe, marks, by, "_at", ["_gone", "_oldest"], width_s, tie=["_gone"], out="_past")
+        n = F.col("_pos") - F.col("_past._gone") - 1
+        out = probe.withColumn(f"n_{name}", n).withColumn(f"oldest_{name}", F.when(n > 0, F.col("_past._oldest"))).drop("_past", "_at")
     return out.drop("_pos")
 
 

@@ -149,6 +149,25 @@ def carry_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket:
     return out.drop("_bucket", *[f"_l_{n}" for n in values], *[f"_c_{n}" for n in values])
 
 
+def carry_both(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, src: Column,
+               back: str = "_back", ahead: str = "_ahead") -> DataFrame:
+    """Nearest non-null value at or before and at or after each row, in one shuffle of the rows."""
+    df = df.withColumn("_bucket", bucket)
+    by = [*keys, "_bucket"]
+    place = F.when(src.isNotNull(), F.struct(*cols(order)))
+    value = F.when(src.isNotNull(), src)
+    per = df.groupBy(*by).agg(F.max_by(value, place).alias("_sb"), F.min_by(value, place).alias("_sa"))
+    slices = W.partitionBy(*keys).orderBy("_bucket")
+    summary = per.select(*by, F.last("_sb", ignorenulls=True).over(slices.rowsBetween(BEFORE, -1)).alias("_cb"),
+                         F.first("_sa", ignorenulls=True).over(slices.rowsBetween(1, W.unboundedFollowing)).alias("_ca"))
+    rows = W.partitionBy(*by).orderBy(*order)
+    local = df.withColumns({"_lb": F.last(src, ignorenulls=True).over(rows.rowsBetween(BEFORE, 0)),
+                            "_la": F.first(src, ignorenulls=True).over(rows.rowsBetween(0, W.unboundedFollowing))})
+    out = _same_slice(local, summary, by)
+    return out.withColumn(back, F.coalesce("_lb", "_cb")).withColumn(ahead, F.coalesce("_la", "_ca")).drop(
+        "_bucket", "_lb", "_cb", "_la", "_ca")
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
                 values: Mapping[str, Column]) -> DataFrame:
     """Running sum up to and including each row, one output column per entry."""
@@ -193,6 +212,25 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], t: str, payload
     return done.filter(F.col("_row").isNotNull()).select("_row.*", out)
 
 
+def asof_both(left: DataFrame, right: DataFrame, keys: Sequence[str], t: str, payload: Sequence[str], width_s: float,
+              equal: str = "back", tie: Sequence[str] = ()) -> DataFrame:
+    """``asof`` in both directions at once: structs ``_back`` and ``_ahead``.
+
+    A right row at exactly the left row's time counts on the ``equal`` side only.
+    """
+    hit = F.struct(F.col(t).alias("t"), *cols(payload))
+    right_side = 0 if equal == "back" else 1
+    ties = [f"_tie{i}" for i in range(len(tie))]
+    kinds = dict(right.dtypes)
+    a = left.select(*cols(keys), F.col(t).alias("_t"), F.lit(1 - right_side).alias("_side"),
+                    *[F.lit(None).cast(kinds[c]).alias(n) for c, n in zip(tie, ties)], F.struct(*cols(left.columns)).alias("_row"))
+    b = right.select(*cols(keys), F.col(t).alias("_t"), F.lit(right_side).alias("_side"),
+                     *[F.col(c).alias(n) for c, n in zip(tie, ties)], hit.alias("_hit"))
+    both = a.unionByName(b, allowMissingColumns=True)
+    done = carry_both(both, keys, ["_t", "_side", *ties], time_bucket("_t", width_s), F.col("_hit"))
+    return done.filter(F.col("_row").isNotNull()).select("_row.*", "_back", "_ahead")
+
+
 def band_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], lt: str, rt: str,
                tol: float | Column, tol_max: float) -> DataFrame:
     """Inner join on keys and |lt - rt| <= tol by cell equi-join; ``tol`` never exceeds ``tol_max``.

@@ -27,8 +27,7 @@ def indexed(df: DataFrame, keys: Sequence[str], t: str, tie: Sequence[str] = (),
 def asof_sample(probes: DataFrame, samples: DataFrame, keys: Sequence[str], t: str, payload: Sequence[str],
                 width_s: float, tie: Sequence[str] = ()) -> DataFrame:
     """Last sample at or before each probe; before the first sample, the first one."""
-    back = ordered.asof(probes, samples, keys, t, payload, width_s, tie=tie, out="_back")
-    both = ordered.asof(back, samples, keys, t, payload, width_s, ahead=True, tie=tie, out="_ahead")
+    both = ordered.asof_both(probes, samples, keys, t, payload, width_s, tie=tie)
     return both.withColumn("hit", F.coalesce("_back", "_ahead")).drop("_back", "_ahead")
 
 
@@ -38,8 +37,7 @@ def asof_interp(probes: DataFrame, samples: DataFrame, keys: Sequence[str], t: s
 
     With ``step_at_null`` a null neighbour gives the earlier sample unblended.
     """
-    back = ordered.asof(probes, samples, keys, t, [value], width_s, tie=tie, out="_a")
-    both = ordered.asof(back, samples, keys, t, [value], width_s, ahead=True, allow_equal=False, tie=tie, out="_b")
+    both = ordered.asof_both(probes, samples, keys, t, [value], width_s, tie=tie).withColumnsRenamed({"_back": "_a", "_ahead": "_b"})
     a, b = F.col(f"_a.{value}"), F.col(f"_b.{value}")
     span = F.col("_b.t") - F.col("_a.t")
     u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(t) - F.col("_a.t")) / span))
@@ -52,16 +50,14 @@ def asof_interp(probes: DataFrame, samples: DataFrame, keys: Sequence[str], t: s
 def next_sample(probes: DataFrame, samples: DataFrame, keys: Sequence[str], t: str, payload: Sequence[str],
                 width_s: float, tie: Sequence[str] = ()) -> DataFrame:
     """First sample at or after each probe; past the end, the last one."""
-    ahead = ordered.asof(probes, samples, keys, t, payload, width_s, ahead=True, tie=tie, out="_ahead")
-    both = ordered.asof(ahead, samples, keys, t, payload, width_s, tie=tie, out="_back")
+    both = ordered.asof_both(probes, samples, keys, t, payload, width_s, equal="ahead", tie=tie)
     return both.withColumn("hit", F.coalesce("_ahead", "_back")).drop("_back", "_ahead")
 
 
 def nearest(probes: DataFrame, samples: DataFrame, keys: Sequence[str], t: str, payload: Sequence[str],
             width_s: float, within_s: float | None = None, tie: Sequence[str] = ()) -> DataFrame:
     """Closest sample in time, the earlier one on a tie; beyond ``within_s`` null."""
-    back = ordered.asof(probes, samples, keys, t, payload, width_s, tie=tie, out="_a")
-    both = ordered.asof(back, samples, keys, t, payload, width_s, ahead=True, tie=tie, out="_b")
+    both = ordered.asof_both(probes, samples, keys, t, payload, width_s, tie=tie).withColumnsRenamed({"_back": "_a", "_ahead": "_b"})
     da, db = F.col(t) - F.col("_a.t"), F.col("_b.t") - F.col(t)
     pick = F.when(F.col("_b").isNull() | (F.col("_a").isNotNull() & (da <= db)), F.col("_a")).otherwise(F.col("_b"))
     out = both.withColumn("hit", pick).drop("_a", "_b")

@@ -64,10 +64,10 @@ def beats_long(tracks: DataFrame) -> dict[str, DataFrame]:
 
 def score_caches(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Per-clip score files, keyed by file name: (good rows, corrupt files reported, never fatal)."""
-    wide = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    rows = (spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", True).json(path)
-            .withColumn("clip", F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^/.]*$", 1)))
-    return rows.filter("_corrupt is null").drop("_corrupt"), rows.filter("_corrupt is not null").select("clip", "_corrupt")
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^/.]*$", 1).alias("clip"), F.col("value").alias("text"))
+    broken = F.try_parse_json("text").isNull()
+    good = raw.filter(~broken).select("clip", F.from_json("text", schema).alias("s")).select("clip", "s.*")
+    return good, raw.filter(broken)
 
 
 def gate_results(spark: SparkSession, path: str) -> DataFrame:

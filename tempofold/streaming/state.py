@@ -153,12 +153,12 @@ class StaleExport(StatefulProcessor):
         if not self.since.exists():
             return
         ms, retry = self.since.get()
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        final = due >= ms + self.give_up
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        final = now >= ms + self.give_up
         if final:
             self.since.clear()
         else:
-            self.handle.registerTimer(min(due + self.recheck, ms + self.give_up))
+            self.handle.registerTimer(min(now + self.recheck, ms + self.give_up))
         yield pd.DataFrame([(key[0], retry, "give_up" if final else "check")], columns=["job_id", "retry_count", "verdict"])
 
     def close(self) -> None:

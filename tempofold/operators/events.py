@@ -121,11 +121,13 @@ def salt_pads(salts: DataFrame) -> DataFrame:
 def visitor_hash(rows: DataFrame, salts: DataFrame, at: str, ip: str, user_agent: str) -> DataFrame:
     """Add ``day_hash`` = HMAC-SHA256(salt of the UTC day, ip|user agent).
 
-    The pads table has one row per day, so its side is small by construction.
+    The salt table is keyed by day, so the broadcast side holds one short row per
+    day of history whatever the log's size, and the log is never shuffled by day.
     """
     message = F.concat(F.col(ip), F.lit("|"), F.coalesce(F.col(user_agent), F.lit(""))).cast("binary")
     pads = F.struct(F.col("_inner").alias("inner"), F.col("_outer").alias("outer"))
-    return (rows.withColumn("_day", F.to_date(at)).join(salt_pads(salts).withColumnRenamed("day", "_day"), "_day", "left")
+    return (rows.withColumn("_day", F.to_date(at)).join(
+        F.broadcast(salt_pads(salts.dropDuplicates(["day"])).withColumnRenamed("day", "_day")), "_day", "left")
             .withColumn("day_hash", hashes.hmac_sha256(pads, message)).drop("_day", "_inner", "_outer"))
 
 

@@ -14,9 +14,6 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-# Below this many bytes an estimated side may be broadcast by hand.
-BROADCAST_MAX_BYTES = 64 * 1024 * 1024
-
 
 def build(app: str = "tempofold", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)

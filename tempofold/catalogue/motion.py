@@ -333,11 +333,21 @@ def orientation_detours(spark, d):
     return o.select("vec_id", "detour", F.round("repaired.w", 6).alias("w"))
 
 
-@query("constant_velocity")
+CV = f"""WITH RECURSIVE {EV}, s AS (SELECT user_id, event_id, t, value AS z, row_number() OVER w AS i, t - lag(t) OVER w AS dt, abs(value - 2 * lag(value) OVER w + lag(value, 2) OVER w) AS d2,
+    abs(value - 3 * lag(value) OVER w + 3 * lag(value, 2) OVER w - lag(value, 3) OVER w) AS d3 FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+  n AS (SELECT user_id, greatest(1e-12, power(1.4826 * quantile_cont(d3, 0.5), 2) / 20) AS r, greatest(1e-12, power(1.4826 * quantile_cont(d2, 0.5) / power(quantile_cont(dt, 0.5), 2), 2)) AS q FROM s GROUP BY 1),
+  f AS (SELECT s.user_id, i, event_id, z AS p, 0.0::DOUBLE AS v, r AS a, 0.0::DOUBLE AS b, q AS c FROM s JOIN n USING (user_id) WHERE i = 1
+    UNION ALL SELECT user_id, i, event_id, pp + aa / (aa + r) * (z - pp), v + bb / (aa + r) * (z - pp), (1 - aa / (aa + r)) * aa, (1 - aa / (aa + r)) * bb, cc - bb / (aa + r) * bb FROM (
+      SELECT s.user_id, s.i, s.event_id, s.z, n.r, f.v, f.p + f.v * s.dt AS pp, f.a + 2 * s.dt * f.b + s.dt * s.dt * f.c + n.q * power(s.dt, 4) / 4 AS aa,
+        f.b + s.dt * f.c + n.q * power(s.dt, 3) / 2 AS bb, f.c + n.q * s.dt * s.dt AS cc FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1 JOIN n ON n.user_id = f.user_id))
+  SELECT event_id, round(p, 3) AS filtered FROM f"""
+
+
+@query("constant_velocity", CV)
 def constant_velocity(spark, d):
-    """Recursive filter; compared with a direct loop in the tests."""
+    """The recursive filter over each user's values."""
     e = series.indexed(events(spark, d).select("event_id", "user_id", "t", "value"), ["user_id"], "t", ["event_id"], DAY)
-    return motion.constant_velocity_filter(e, ["user_id"], "t", "value").select("event_id", F.round("filtered", 4).alias("filtered"))
+    return motion.constant_velocity_filter(e, ["user_id"], "t", "value").select("event_id", F.round("filtered", 3).alias("filtered"))
 
 
 def _scores(spark, d):
@@ -348,9 +358,28 @@ def _scores(spark, d):
     return s.withColumn("level", C.metrical(F.col("q"))).withColumn("fast", F.pmod("q", F.lit(3)) == 0)
 
 
-@query("segmentation")
+def _paths(name: str, spans: str, step: int, lo: int, hi: int, pref: int, quantile: float) -> str:
+    """SQL that tries every set of cuts of every span and keeps the best, later cuts first on ties."""
+    return f"""{name}c AS (SELECT key, quantile_cont(score, {quantile}) AS cost FROM sco WHERE q % {step} = 0 GROUP BY 1),
+  {name}s AS (SELECT x.key, x.parent, x.a, x.b, coalesce(c.cost, 0.35) AS cost FROM {spans} x LEFT JOIN {name}c c USING (key)),
+  {name}q AS (SELECT s.key, s.parent, s.a, s.b, s.cost, g.q, coalesce(sco.score, 0) AS score FROM (SELECT *, unnest(range(a, b + 1)) AS q FROM {name}s) g JOIN {name}s s ON s.key = g.key AND s.parent = g.parent AND s.a = g.a
+    LEFT JOIN sco ON sco.key = g.key AND sco.q = g.q WHERE g.q = s.a OR g.q = s.b OR g.q % {step} = 0),
+  {name}p AS (SELECT key, parent, a, b, cost, a AS last, [a] AS cuts, 0.0::DOUBLE AS v FROM {name}s
+    UNION ALL SELECT p.key, p.parent, p.a, p.b, p.cost, n.q, list_prepend(n.q, p.cuts), p.v + CASE WHEN n.q < p.b THEN n.score - p.cost ELSE 0 END - 0.25 * abs(log2((n.q - p.last) / {pref}.0))
+    FROM {name}p p JOIN {name}q n ON n.key = p.key AND n.parent = p.parent AND n.a = p.a AND n.q > p.last AND n.q - p.last <= {hi} AND n.q - p.last >= least({lo}, p.b - p.a)),
+  {name}b AS (SELECT s.key, s.parent, s.a, s.b, coalesce(arg_max(p.cuts, (round(p.v, 9), p.cuts)), [s.b, s.a]) AS cuts FROM {name}s s LEFT JOIN {name}p p ON p.key = s.key AND p.parent = s.parent AND p.a = s.a AND p.last = s.b GROUP BY 1, 2, 3, 4),
+  {name} AS (SELECT key, parent, cuts[i + 1] AS a, cuts[i] AS b FROM (SELECT *, unnest(range(1, len(cuts))) AS i FROM {name}b))"""
+
+
+SEG = f"""WITH RECURSIVE {EV}, sco AS (SELECT user_id AS key, CAST(floor((t - {BASE}) / 21600) AS BIGINT) AS q, least(1, max(value) / 100) AS score FROM ev GROUP BY 1, 2),
+  tops AS (SELECT DISTINCT key, q // 16 AS parent, q // 16 * 16 AS a, q // 16 * 16 + 16 AS b FROM sco), {_paths('bg', 'tops', 4, 4, 12, 8, 0.65)},
+  inn AS (SELECT key, a AS parent, a, b FROM bg), {_paths('im', 'inn', 2, 2, 8, 4, 0.5)}
+  SELECT key, 'beginner' AS level, a, b FROM bg UNION ALL SELECT key, 'intermediate', a, b FROM im"""
+
+
+@query("segmentation", SEG)
 def segmentation(spark, d):
-    """Nested cuts, beginner then intermediate; the cut search is compared with brute force in the tests."""
+    """Nested cuts, beginner then intermediate; the SQL side tries every set of cuts."""
     s = _scores(spark, d)
     top = s.select("key", F.floor(F.col("q") / 16).alias("parent")).distinct().select(
         "key", "parent", (F.col("parent") * 16).alias("a"), (F.col("parent") * 16 + 16).alias("b"), F.lit(0.5).alias("spc"), F.lit(120.0).alias("bpm"))

@@ -324,13 +324,28 @@ def track_links(spark, d):
     return motion.track_links(tr, "clip", 43200.0, 15.0, 2).select("clip", "b", "a")
 
 
-@query("orientation_detours")
+def _span_sql(n: int, taken: str) -> str:
+    """Spans of n rows that leave the path between their neighbours; none may touch a row of ``taken``."""
+    dot = lambda a, b: f"({a}.qx * {b}.qx + {a}.qy * {b}.qy + {a}.qz * {b}.qz + {a}.qw * {b}.qw)"
+    return f"""e{n} AS (SELECT a.clip_id, a.i + 1 AS start, m.i, m.vec_id, a.qw AS aw, b.qw AS bw, {dot('a', 'b')} AS ab, {dot('m', 'a')} AS qa, {dot('m', 'b')} AS qb, (m.t - a.t) / (b.t - a.t) AS u
+    FROM r0 a JOIN r0 b ON b.clip_id = a.clip_id AND b.i = a.i + {n + 1} JOIN r0 m ON m.clip_id = a.clip_id AND m.i > a.i AND m.i < b.i),
+  k{n} AS (SELECT *, CASE WHEN abs(ab) > 0.9995 THEN 1 - u ELSE sin((1 - u) * acos(least(1, abs(ab)))) / sin(acos(least(1, abs(ab)))) END AS ka,
+    CASE WHEN abs(ab) > 0.9995 THEN u ELSE sin(u * acos(least(1, abs(ab)))) / sin(acos(least(1, abs(ab)))) END * CASE WHEN ab < 0 THEN -1 ELSE 1 END AS kb FROM e{n}),
+  o{n} AS (SELECT *, degrees(2 * acos(least(1, abs(ka * qa + kb * qb) / sqrt(ka * ka + kb * kb + 2 * ka * kb * ab)))) AS off, degrees(2 * acos(least(1, abs(ab)))) AS gap FROM k{n}),
+  h{n} AS (SELECT clip_id, start FROM o{n} WHERE NOT EXISTS (SELECT 1 FROM ({taken}) x WHERE x.clip_id = o{n}.clip_id AND x.i BETWEEN o{n}.start - 1 AND o{n}.start + {n}) GROUP BY 1, 2 HAVING min(off) > 60 AND max(gap) < min(off) / 2),
+  t{n} AS (SELECT clip_id, i, arg_max((ka * aw + kb * bw) / sqrt(ka * ka + kb * kb + 2 * ka * kb * ab), start) AS w FROM o{n} JOIN h{n} USING (clip_id, start) GROUP BY 1, 2)"""
+
+
+@query("orientation_detours", f"""WITH {ROWS}, r0 AS (SELECT clip_id, vec_id, t, qx, qy, qz, qw, row_number() OVER (PARTITION BY clip_id ORDER BY t) - 1 AS i FROM js WHERE j = 0),
+  {_span_sql(1, "SELECT NULL AS clip_id, NULL AS i WHERE false")}, {_span_sql(2, "SELECT clip_id, i FROM t1")}, {_span_sql(3, "SELECT clip_id, i FROM t1 UNION ALL SELECT clip_id, i FROM t2")}
+  SELECT r0.vec_id, CASE WHEN t1.i IS NOT NULL THEN 1 WHEN t2.i IS NOT NULL THEN 2 WHEN t3.i IS NOT NULL THEN 3 ELSE 0 END AS detour, round(coalesce(t1.w, t2.w, t3.w, r0.qw), 5) AS w
+  FROM r0 LEFT JOIN t1 USING (clip_id, i) LEFT JOIN t2 USING (clip_id, i) LEFT JOIN t3 USING (clip_id, i)""")
 def orientation_detours(spark, d):
-    """Sequential neighbour logic; planted flips are found in the tests."""
+    """Root rotations that jump away from the path between their neighbours and come back."""
     x = _joints(spark, d).filter("joint_idx = 0").withColumn("q", F.struct(*[F.col(f"q{c}").alias(c) for c in "xyzw"]))
     x = series.indexed(x.select("clip_id", "vec_id", "t", "q"), ["clip_id"], "t", width_s=1e4)
     o = motion.orientation_detours(x, ["clip_id"])
-    return o.select("vec_id", "detour", F.round("repaired.w", 6).alias("w"))
+    return o.select("vec_id", "detour", F.round("repaired.w", 5).alias("w"))
 
 
 CV = f"""WITH RECURSIVE {EV}, s AS (SELECT user_id, event_id, t, value AS z, row_number() OVER w AS i, t - lag(t) OVER w AS dt, abs(value - 2 * lag(value) OVER w + lag(value, 2) OVER w) AS d2,

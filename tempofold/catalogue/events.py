@@ -82,7 +82,11 @@ def rollup_daily(spark, d):
     return _text_day(_rolled(event_log(spark, d))).withColumn("seconds", F.col("seconds").cast("double"))
 
 
-@query("rollup_union", f"WITH {LOG} {DAILY}")
+# A rolled-up day with no row of a kind reports null, as a filtered sum does; a live day reports 0.
+_OLD = ", ".join(f"CASE WHEN day < '{CUT}' THEN nullif({c}, 0) ELSE {c} END AS {c}" for c in ("visitors", "uploads", "gpu_runs", "finished", "succeeded"))
+
+
+@query("rollup_union", f"WITH {LOG}, daily AS ({DAILY}) SELECT day, {_OLD} FROM daily")
 def rollup_union(spark, d):
     log = event_log(spark, d)
     live = log.filter(F.col("occurred_at") >= F.lit(CUT).cast("timestamp"))

@@ -1,7 +1,7 @@
 """Corpus preparation for training data: ten operators, their queries and SQL twins. Nothing outside imports this package."""
 
-from . import decontam, exact, language, packing, tokens, toxicity
+from . import decontam, exact, language, packing, tokens, toxicity, warc
 
-MODULES = (tokens, exact, toxicity, language, decontam, packing)
+MODULES = (tokens, exact, toxicity, language, decontam, warc, packing)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}

@@ -1,7 +1,7 @@
 """Corpus preparation for training data: ten operators, their queries and SQL twins. Nothing outside imports this package."""
 
-from . import decontam, exact, language, lm, packing, tokens, toxicity, urls, warc
+from . import decontam, exact, jaccard, language, lm, packing, tokens, toxicity, urls, warc
 
-MODULES = (tokens, urls, lm, exact, toxicity, language, decontam, warc, packing)
+MODULES = (tokens, urls, jaccard, lm, exact, toxicity, language, decontam, warc, packing)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}

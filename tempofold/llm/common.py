@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,31 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(c.alias(k) for k, c in more.items()))
 
 
+def backed(df: DataFrame) -> DataFrame:
+    """A frame that reads files, so that its rows have a place (file and row) which every scan of it agrees on."""
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index").schema  # resolves, or not
+        return df
+    except AnalysisException:
+        return written(df, "rows")
+
+
+def located(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, file, row."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index").schema
+    except AnalysisException:
+        docs, id_col, text_col = written(texts(docs, id_col, text_col), "texts"), "doc_id", "text"
+    return texts(docs, id_col, text_col, file=F.col("_metadata.file_path"), row=F.col("_metadata.row_index"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of a file-backed frame whose place is not among (file, row) of ``gone``."""
+    placed = docs.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("__place"))
+    keys = gone.select(F.struct(F.col("file").alias("file_path"), F.col("row").alias("row_index")).alias("__gone"))
+    return placed.join(keys, F.col("__place") == F.col("__gone"), "left_anti").drop("__place")
+
+
 def fold(doc_id: Column, of: int = 5) -> Column:
     """crc32 of the id as text, modulo ``of``; a null id counts as an empty string."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(of))

@@ -112,6 +112,21 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_char
                        F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"))).alias("spans"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, text_col: str = "text", item_text: str = "text") -> DataFrame:
+    """The rows without a hit, with all their columns: a filter per block of items, without a shuffle."""
+    items = benchmark.select(F.lit(None).cast("string").alias("item"), F.col(item_text).alias("text"))
+    for block in _blocks(items, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(patterns(block, window))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            scan = scanner(shared.value)
+            for batch in common.blocks_of_bytes(batches, text_col, 8_000_000):
+                yield batch.filter(pa.array([not scan(t or "")[2] for t in batch.column(text_col).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def _merged(runs: str):
     """Sorted runs of words, those that touch or overlap joined."""
     kind = "array<struct<first:bigint,last:bigint,start:bigint,end:bigint>>"

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,16 +35,6 @@ def sha(text: Column, turn: int) -> Column:
     return F.sha2(text if not turn else F.concat(F.lit(f"{turn}\x1f"), text), 256)
 
 
-def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, file, row. A frame that no file backs is written to the shared folder first."""
-    try:
-        out = common.texts(docs, id_col, text_col, file=F.col("_metadata.file_path"), row=F.col("_metadata.row_index"))
-        out.schema  # resolves, or not
-        return out
-    except AnalysisException:
-        return common.texts(common.written(common.texts(docs, id_col, text_col), "exact-docs"), file=F.col("_metadata.file_path"), row=F.col("_metadata.row_index"))
-
-
 def first_of() -> Column:
     """Order of rows of one digest: smallest id, nulls last, then place."""
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")
@@ -91,7 +80,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
     columns are not read.
     """
     spark = docs.sparkSession
-    todo, done, turn = located(docs, id_col, text_col), None, 0
+    todo, done, turn = common.located(docs, id_col, text_col), None, 0
     while True:
         norm = normalised(F.col("text")) if not turn else F.col("text")
         rows = todo.select("doc_id", "file", "row", norm.alias("norm"))
@@ -130,16 +119,8 @@ def _mismatched(hashes: DataFrame, shared: DataFrame, broadcast_rows: int) -> Da
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. The locator is the join key, so repeated ids are no matter."""
-    spark = docs.sparkSession
-    try:
-        docs.select("_metadata.file_path").schema
-    except AnalysisException:
-        path = common.scratch(spark, "exact-docs")
-        docs.write.parquet(path)
-        docs = spark.read.schema(docs.schema).parquet(path)
-    gone = classes(docs).where("NOT kept").select(F.col("file").alias("_f"), F.col("row").alias("_r"))
-    return docs.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")}).join(
-        gone, (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r")), "left_anti").drop("_file", "_row")
+    docs = common.backed(docs)
+    return common.without(docs, classes(docs).where("NOT kept"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

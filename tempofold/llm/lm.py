@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -278,12 +277,9 @@ def score(docs: DataFrame, held=None, id_col: str = "doc_id", text_col: str = "t
     token has probability one. No rows in, none out. Extra columns are not read.
     """
     spark = docs.sparkSession
-    try:
-        docs.select("_metadata.file_path").schema
-    except AnalysisException:  # no files behind it: the two passes need the same rows in the same place
-        docs = common.written(docs.select(F.col(id_col), F.col(text_col), (held if held is not None else F.lit(False)).alias("_held")), "lm-docs")
-        held = F.col("_held")
-    rows = common.texts(docs, id_col, text_col, held=F.coalesce(held, F.lit(False)) if held is not None else F.lit(False))
+    # The two passes need the same rows in the same place.
+    docs = common.backed(docs.select(F.col(id_col), F.col(text_col), (held if held is not None else F.lit(False)).alias("_held")))
+    rows = common.texts(docs, id_col, text_col, held=F.coalesce("_held", F.lit(False)))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(2, -(-size // range_bytes))  # a range holds as much, however large the corpus
     answers = rows.mapInArrow(_ask(ranges, block_bytes), ROWS).groupBy("r").applyInArrow(_answer, ROWS)

@@ -7,7 +7,6 @@ logarithm of its sample's length, wins.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +24,12 @@ SCHEMA = "doc_id long, lang_pred string, score double, phrases array<long>"
 SPACE, OTHER = 0, 1
 
 
-@functools.cache
 def letters() -> np.ndarray:
-    """Which code points are letters."""
+    """Which code points are letters, as bits."""
     out = np.zeros(0x110000, bool)
     for a in range(0, 0x110000, 4096):
         out[a : a + 4096] = [chr(c).isalpha() for c in range(a, a + 4096)]
-    return out
+    return np.packbits(out)
 
 
 def symbols(text: str, table: np.ndarray) -> np.ndarray:
@@ -77,7 +75,7 @@ class Model:
     """Languages, symbol table and automata. Travels as edge lists; tasks spread them into a dense table."""
 
     def __init__(self, samples: dict[str, list[str]]):
-        self.langs = sorted(samples)
+        self.langs, self.letters = sorted(samples), letters()
         alphabet = sorted({c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha()})
         self.alphabet = alphabet[:250] if len(alphabet) > 250 else alphabet  # symbols are bytes; further letters are the one symbol for others
         if len(alphabet) > 250:
@@ -94,8 +92,15 @@ class Model:
             self.edges.append(automaton(word.tolist()))
             self.cost.append(float(np.log2(len(word) + 2)))
 
+    @classmethod
+    def again(cls, state: dict) -> Model:
+        """A model from what was broadcast: plain values, which workers without this package can read."""
+        out = cls.__new__(cls)
+        out.__dict__.update(state)
+        return out
+
     def table(self) -> np.ndarray:
-        out = np.where(letters(), OTHER, SPACE).astype(np.uint8)
+        out = np.where(np.unpackbits(self.letters), OTHER, SPACE).astype(np.uint8)
         for k, c in enumerate(self.alphabet):
             out[ord(c)] = k + 2
         return out
@@ -176,13 +181,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     The score is one minus the best price over the second best (0: a tie, which the earlier name
     wins; 1 with one language). Extra columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_predict(shared), SCHEMA)
 
 
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
+        model = Model.again(shared.value)
         table, (moves, starts) = model.table(), model.dense()
         cost = np.array(model.cost)
         for batch in common.blocks_of_bytes(batches, "text", 4_000_000):

@@ -27,13 +27,13 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-@functools.cache
 def encoder(paths: tuple[str, str]) -> Callable[[str], np.ndarray]:
     """text -> ids (unsigned 32-bit). Strings of special tokens are ordinary text.
 
     The ranks file holds the vocabulary of the JSON file, and its encoder gives the same ids several
     times faster (a test compares the two); where it gives up, on huge runs without a break, the
-    JSON form's own library encodes.
+    JSON form's own library encodes. Built anew in each task (a tenth of a second): a cache would have
+    to travel with the function.
     """
     import base64
 
@@ -61,7 +61,6 @@ def encoder(paths: tuple[str, str]) -> Callable[[str], np.ndarray]:
     return encode
 
 
-@functools.cache
 def token_bytes(path: str) -> np.ndarray:
     """Byte length of each id."""
     import base64

@@ -103,6 +103,13 @@ class Model:
     def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float, leak: float):
         self.keys, self.weights, self.bias, self.leak = keys, weights, bias, leak
 
+    @classmethod
+    def again(cls, state: dict) -> Model:
+        """A model from what was broadcast: plain values, which workers without this package can read."""
+        out = cls.__new__(cls)
+        out.__dict__.update(state)
+        return out
+
     def sentences(self, read: Read) -> tuple[np.ndarray, np.ndarray]:
         """Sentences with a known feature, and their probability."""
         if not len(self.keys) or not len(read.keys):
@@ -181,7 +188,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", locate: float = 0.5) -> DataFrame:
     """doc_id, score, spans of the sentences at ``locate`` or above (characters). Null and empty texts score the leak, as do texts without a known feature."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     return common.texts(docs, id_col, text_col).mapInArrow(_score(shared, locate), SCHEMA)
 
 
@@ -193,7 +200,7 @@ def _probabilities(read: Read, model: Model) -> tuple[np.ndarray, np.ndarray, np
 
 def _score(shared, locate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
+        model = Model.again(shared.value)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
         for batch in common.blocks_of_bytes(batches, "text", 4_000_000):
             read = Read(batch.column("text").to_pylist())
@@ -209,11 +216,12 @@ def _score(shared, locate: float):
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text", at: float = 0.5) -> DataFrame:
     """The rows that score below ``at``, with all their columns: a filter in one pass, without a shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model.again(shared.value)
         for batch in common.blocks_of_bytes(batches, text_col, 4_000_000):
-            total, _, _ = _probabilities(Read([t or "" for t in batch.column(text_col).to_pylist()]), shared.value)
+            total, _, _ = _probabilities(Read([t or "" for t in batch.column(text_col).to_pylist()]), model)
             yield batch.filter(pa.array(total < at))
 
     return docs.mapInArrow(run, docs.schema)

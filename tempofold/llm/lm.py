@@ -28,7 +28,7 @@ from . import common
 #: Bytes of text of a block, and of all blocks together per key range.
 BLOCK_BYTES, RANGE_BYTES = 12_000_000, 24_000_000
 #: Steps of log2(bigram / unigram estimate) in the statistics of EM, per unit, and their reach.
-STEPS, REACH = 16, 32
+STEPS, REACH = 64, 32
 END = np.uint64(0xE5D00D5E0F7E4D01)  # the end token, and the context of a first word
 SPACE_BYTES = bytes(32 if b in (9, 10, 11, 12, 13) else b + 32 if 65 <= b <= 90 else b for b in range(256))
 ROWS = "block string, r int, a binary, b binary, c binary, d binary, distinct long"
@@ -286,7 +286,7 @@ def score(docs: DataFrame, held=None, id_col: str = "doc_id", text_col: str = "t
     blocks = common.written(rows.mapInArrow(_own(block_bytes), ROWS).unionAll(answers).groupBy("block").applyInArrow(_met(ranges), BLOCKS), "lm-blocks")
     v, n = (int(x or 0) for x in blocks.agg(F.sum("distinct"), F.sum("train")).first())
     cells = blocks.mapInArrow(_statistics(n, v), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    learned = mixture([tuple(r) for r in cells.collect()])  # at most 65 buckets of 1,024 steps
+    learned = mixture([tuple(r) for r in cells.collect()])  # at most 65 buckets of 4,096 steps
     weights = np.zeros(66)
     for k, w in learned.items():
         weights[k] = w

@@ -96,10 +96,9 @@ def whole_records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, byte
             else:
                 held = piece if first and piece.startswith(START.encode()) else START.encode() + piece
             first = False
-            if not need:
-                end = held.index(BREAK.encode())
+            if not need and (end := held.find(BREAK.encode())) >= 0:  # a payload may itself begin like a record
                 need = end + 4 + int(fields(held[:end])["content-length"])
-            if len(held) >= need:
+            if need and len(held) >= need:
                 if held[need:] not in (b"", BREAK.encode()):
                     raise ValueError(f"{file}: a record goes on after its Content-Length")
                 yield file, held[:need]

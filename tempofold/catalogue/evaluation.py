@@ -146,16 +146,14 @@ def accent_retention(spark, d):
     return out.select("user_id", "peaks", F.round("kept_mean", 4).alias("kept_mean"), F.round("kept_min", 4).alias("kept_min"))
 
 
-@query("band_power", f"""WITH {EV}, s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS i FROM ev),
-  r AS (SELECT user_id, i // 32 AS run, i % 32 AS j, value - avg(value) OVER (PARTITION BY user_id, i // 32) AS x, count(*) OVER (PARTITION BY user_id, i // 32) AS n FROM s),
-  f AS (SELECT user_id, run, k, max(n) AS n, sum(x * cos(2 * pi() * k * j / n)) AS c, sum(x * sin(2 * pi() * k * j / n)) AS s FROM r, range(1, 17) z(k) WHERE k <= n // 2 GROUP BY 1, 2, 3)
-  SELECT user_id, run, round(coalesce(sum((c * c + s * s)) FILTER (WHERE k * 15.0 / n <= 3), 0), 2) AS low, round(coalesce(sum(c * c + s * s) FILTER (WHERE k * 15.0 / n >= 5), 0), 2) AS high FROM f GROUP BY 1, 2""")
+@query("band_power", f"""WITH {EV}, s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS j FROM ev),
+  r AS (SELECT user_id, j, value - avg(value) OVER (PARTITION BY user_id) AS x, count(*) OVER (PARTITION BY user_id) AS n FROM s),
+  f AS (SELECT user_id, k, max(n) AS n, sum(x * cos(2 * pi() * ((k * j) % n) / n)) AS c, sum(x * sin(2 * pi() * ((k * j) % n) / n)) AS s FROM (SELECT *, unnest(range(1, n // 2 + 1)) AS k FROM r) GROUP BY 1, 2)
+  SELECT u.user_id, round(coalesce(sum((c * c + s * s)) FILTER (WHERE k * 15.0 / n <= 3), 0), 2) AS low, round(coalesce(sum(c * c + s * s) FILTER (WHERE k * 15.0 / n >= 5), 0), 2) AS high
+  FROM (SELECT DISTINCT user_id FROM ev) u LEFT JOIN f ON f.user_id = u.user_id GROUP BY 1""")
 def band_power(spark, d):
     x = series.indexed(events(spark, d).select("event_id", "user_id", "t", "value"), ["user_id"], "t", ["event_id"], DAY)
-    out = ev.band_power(x, ["user_id"], "value", 15.0, run=32)
-    # A run of one sample has no frequency; the SQL side has no row for it.
-    alone = x.groupBy("user_id", F.floor(F.col("idx") / 32).alias("run")).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return out.join(alone, ["user_id", "run"], "left_semi").select("user_id", "run", F.round("low", 2).alias("low"), F.round("high", 2).alias("high"))
+    return ev.band_power(x, ["user_id"], "value", 15.0).select("user_id", F.round("low", 2).alias("low"), F.round("high", 2).alias("high"))
 
 
 @query("suppression_counts", f"WITH {EV} SELECT k, count(*) FILTER (WHERE event_type = 'error') AS n, round(count(*) FILTER (WHERE event_type = 'error') / (SELECT count(*) FROM ev), 6) AS share FROM ev GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
@@ -174,7 +172,7 @@ def interpolation_error(spark, d):
     return out.select("event_type", "n", *[F.round(c, 4).alias(c) for c in ("median", "p90", "max")])
 
 
-NULLQ = f"""{EV}, rr AS (SELECT CAST(r AS BIGINT) AS r, 0.1 + 0.8 * (r * 0.6180339887498949 - floor(r * 0.6180339887498949)) AS sh FROM range(1, 11) z(r)),
+NULLQ = f"""{EV}, rr AS (SELECT CAST(r AS BIGINT) AS r, 0.1 + 0.8 * (r * 0.6180339887498949 - floor(r * 0.6180339887498949)) AS sh FROM range(1, 201) z(r)),
   h AS (SELECT user_id % 4 AS u, r, t + sh * 14400 AS t FROM ev, rr WHERE event_type = 'click'), o AS (SELECT user_id % 4 AS u, t FROM ev WHERE event_type = 'view'),
   c AS (SELECT DISTINCT u, r, CAST(floor((t - {BASE}) / 14400) AS BIGINT) + z.z AS c FROM h, (VALUES (-1), (0), (1)) z(z)),
   p AS (SELECT u, r, c, j, {BASE} + (c + j / 4.0) * 14400 AS at FROM c, range(0, 4) x(j)),
@@ -188,7 +186,7 @@ def null_distribution(spark, d):
     e = events(spark, d).withColumn("key", F.col("user_id") % 4)
     grids = e.select("key").distinct().withColumn("one", F.lit(float(BASE))).withColumn("spc", F.lit(14400.0))
     hits, ons = [e.filter(F.col("event_type") == k).select("key", "t") for k in ("click", "view")]
-    out = ev.null_distribution(grids, hits, ons, "key", "t", 1800.0, replicates=10, tol_frac=1 / 8)
+    out = ev.null_distribution(grids, hits, ons, "key", "t", 1800.0, tol_frac=1 / 8)
     return out.select("key", "replicates", F.round("mean", 4).alias("mean"), F.round("p95", 4).alias("p95"))
 
 

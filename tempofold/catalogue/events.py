@@ -201,12 +201,16 @@ def forward_gate(spark, d):
 
 
 @query("forward_payload", f"""WITH {LOG} SELECT id, name AS event, visitor AS distinct_id,
-  strftime(occurred_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS at, job_id AS lesson FROM logx""")
+  strftime(occurred_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS at, job_id AS lesson,
+  true AS private, CASE WHEN name IN ('job_created', 'play_seconds') THEN 'number' END AS seconds_kind,
+  CASE WHEN name = 'loop_created' THEN (['drag', 'count', 'marker'])[k % 3 + 1] END AS via FROM logx""")
 def forward_payload(spark, d):
     p = ev.forward_payload(event_log(spark, d))
     g = lambda path: F.get_json_object("payload", path)
     return p.select("id", g("$.event").alias("event"), g("$.distinct_id").alias("distinct_id"),
-                    g("$.timestamp").alias("at"), g("$.properties.lesson").alias("lesson"))
+                    g("$.timestamp").alias("at"), g("$.properties.lesson").alias("lesson"),
+                    (F.col("payload").contains('"$process_person_profile":false') & F.col("payload").contains('"$geoip_disable":true') & F.col("payload").contains('"$ip":null')).alias("private"),
+                    F.when(F.col("payload").rlike('"seconds":-?[0-9]'), "number").when(F.col("payload").contains('"seconds":'), "other").alias("seconds_kind"), g("$.properties.via").alias("via"))
 
 
 @query("once_only", f"""WITH {LOG} SELECT job_id, k % 3 AS retry_count, arg_min(id, (t, id)) AS id FROM logx

@@ -11,9 +11,9 @@ from .base import EV, LOG, event_log, events, query, table
 BASE = 1704067200
 
 
-@query("nearest_index", f"WITH {EV} SELECT event_id, CAST(CASE WHEN floor((value - 5) * 0.5 + 0.5) < 0 THEN 0 WHEN floor((value - 5) * 0.5 + 0.5) < k THEN floor((value - 5) * 0.5 + 0.5) WHEN k = 0 THEN -1 ELSE -1 END AS BIGINT) AS i FROM ev WHERE k > 0")
+@query("nearest_index", f"WITH {EV} SELECT event_id, CAST(CASE WHEN k = 0 THEN -1 WHEN floor((value - 5) * 0.5 + 0.5) < 0 THEN 0 WHEN floor((value - 5) * 0.5 + 0.5) < k THEN floor((value - 5) * 0.5 + 0.5) ELSE -1 END AS BIGINT) AS i FROM ev")
 def nearest_index(spark, d):
-    e = events(spark, d).filter("k > 0")
+    e = events(spark, d)
     return e.select("event_id", series.nearest_index(F.col("value"), F.lit(5.0), F.lit(0.5), F.col("k")).cast("bigint").alias("i"))
 
 
@@ -24,11 +24,11 @@ def retempo(spark, d):
                                    F.round(C.retempo_spc(v, True), 4).alias("fast"), F.round(C.retempo_spc(v, False), 4).alias("slow"))
 
 
-@query("loop_steps", f"""WITH {EV}, l AS (SELECT event_id, k, floor(k / 8) * 8 + 1 AS s, least(floor(k / 8) * 8 + 8, 90) AS e FROM ev WHERE k < 90)
+@query("loop_steps", f"""WITH {EV}, l AS (SELECT event_id, k, least(floor(k / 8) * 8 + 1, 90) AS s, least(floor(k / 8) * 8 + 8, 90) AS e FROM ev)
   SELECT event_id, CAST(CASE WHEN e + 1 > 90 THEN s ELSE least(greatest(e + 1, 1), 90) END AS BIGINT) AS next_start, CAST(CASE WHEN s <= 1 THEN s ELSE greatest(1, s - 8) END AS BIGINT) AS prev_start,
     round(least(1, floor((0.5 + 0.1 * greatest(0, k % 9)) * 100 + 0.5) / 100), 4) AS speed FROM l""")
 def loop_steps(spark, d):
-    e = events(spark, d).filter("k < 90")
+    e = events(spark, d)
     total = F.lit(90).cast("bigint")
     loop = C.loop_at(F.floor(F.col("k") / 8) * 8 + 1, 8, total)
     return e.select("event_id", C.step_loop(loop, F.col("k"), 8, 1, total)["start_count"].alias("next_start"),

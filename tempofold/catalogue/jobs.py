@@ -65,14 +65,14 @@ def queued_default(spark, d):
     return jobs.with_queued_default(asked, _orders(spark, d).filter("job_id % 3 = 0")).select("job_id", "state")
 
 
-@query("finish_join", """WITH d AS (SELECT l_orderkey AS job_id, max(epoch_us(l_shipdate) / 1e6) AS dispatched FROM lineitem WHERE l_linenumber < 4 GROUP BY 1)
+@query("finish_join", """WITH d AS (SELECT l_orderkey AS job_id, max(epoch_us(l_shipdate) / 1e6) AS dispatched FROM lineitem GROUP BY 1)
   SELECT o_orderkey AS job_id, CAST(round_even(CASE WHEN o_orderkey % 2 = 0 THEN epoch_us(o_orderdate) / 1e6 + 1e8 ELSE epoch_us(o_orderdate) / 1e6 END - dispatched, 0) AS BIGINT) AS wall_s
   FROM orders LEFT JOIN d ON d.job_id = o_orderkey WHERE o_orderstatus <> 'P'""")
 def finish_join(spark, d):
     t = F.col("us") / 1e6
     fin = _orders(spark, d).filter("state in ('succeeded', 'failed')").select(
         "job_id", t.alias("seen_t"), F.when(F.col("job_id") % 2 == 0, t + 1e8).alias("finished_t"))
-    disp = table(spark, d, "lineitem").filter("l_linenumber < 4").select(
+    disp = table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("job_id"), (F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 1e6).alias("t"))
     return jobs.finish_join(fin, disp).select("job_id", "wall_s")
 

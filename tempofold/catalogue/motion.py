@@ -118,7 +118,7 @@ def status_violations(spark, d):
 @query("ancestor_closure", f"""WITH RECURSIVE c AS (SELECT j AS joint, j AS ancestor, 0 AS depth FROM range(0, {JOINTS}) r(j) UNION ALL SELECT joint, (ancestor - 1) // 2, depth + 1 FROM c WHERE ancestor > 0)
   SELECT CAST(joint AS INT) AS joint, CAST(ancestor AS INT) AS ancestor, depth FROM c""")
 def ancestor_closure(spark, d):
-    return motion.closure(_rig(spark, d), doublings=3)
+    return motion.closure(_rig(spark, d))
 
 
 FK = f"""WITH RECURSIVE {ROWS}, f AS (SELECT r.vec_id, 0::BIGINT AS j, x AS px, y AS py, z AS pz, 0.0::DOUBLE AS qx, 0.0::DOUBLE AS qy, 0.0::DOUBLE AS qz, 1.0::DOUBLE AS qw FROM rt r
@@ -132,7 +132,7 @@ FK = f"""WITH RECURSIVE {ROWS}, f AS (SELECT r.vec_id, 0::BIGINT AS j, x AS px,
 
 @query("forward_kinematics", FK + " SELECT vec_id, CAST(j AS INT) AS joint, round(px, 4) AS x, round(py, 4) AS y, round(pz, 4) AS z, round(qw, 4) AS qw FROM f")
 def forward_kinematics(spark, d):
-    fk = motion.forward_kinematics(_joints(spark, d), _roots(spark, d), _rig(spark, d), ["vec_id"], doublings=3)
+    fk = motion.forward_kinematics(_joints(spark, d), _roots(spark, d), _rig(spark, d), ["vec_id"])
     return fk.select("vec_id", "joint", *[F.round(F.col(f"p.{c}"), 4).alias(c) for c in "xyz"], F.round("q.w", 4).alias("qw"))
 
 
@@ -151,13 +151,13 @@ def _bones(spark, d):
 @query("region_visibility", f"""WITH RECURSIVE {ROWS}, c AS (SELECT j AS joint, j AS a FROM (VALUES (0), (2), (5), (9), (12)) v(j) UNION ALL SELECT joint, (a - 1) // 2 FROM c WHERE a > 0)
   SELECT vec_id, 'r' || joint AS region, (['observed', 'uncertain', 'absent'])[max(CASE vis WHEN 'observed' THEN 1 WHEN 'uncertain' THEN 2 ELSE 3 END)] AS visibility FROM js JOIN c ON c.a = js.j GROUP BY 1, 2""")
 def region_visibility(spark, d):
-    return motion.chain_visibility(_joints(spark, d), _rig(spark, d), ["vec_id"], _bones(spark, d), doublings=3)
+    return motion.chain_visibility(_joints(spark, d), _rig(spark, d), ["vec_id"], _bones(spark, d))
 
 
 @query("owning_region", f"""WITH RECURSIVE c AS (SELECT j AS joint, j AS a, 0 AS d FROM range(0, {JOINTS}) r(j) UNION ALL SELECT joint, (a - 1) // 2, d + 1 FROM c WHERE a > 0)
   SELECT CAST(joint AS INT) AS joint, 'r' || arg_min(a, d) FILTER (WHERE a IN (0, 2, 5, 9, 12)) AS region FROM c GROUP BY 1""")
 def owning_region(spark, d):
-    return motion.owning_region(_rig(spark, d), _bones(spark, d), doublings=3)
+    return motion.owning_region(_rig(spark, d), _bones(spark, d))
 
 
 def _camera():
@@ -449,7 +449,7 @@ def chunks(spark, d):
   st AS (SELECT DISTINCT key, CAST(floor((t - {BASE}) / 86400) AS BIGINT) AS step FROM s), w AS (SELECT *, {BASE} + step * 86400 AS ta, {BASE} + (step + 1) * 86400 AS tb FROM st),
   j AS (SELECT w.key, w.step, s.* EXCLUDE (key) FROM w JOIN s ON s.key = w.key AND s.t >= ta AND s.t <= tb)
   SELECT j.key, step, count(*) AS samples, round(avg(energy), 6) AS mean_energy, round(max(energy) / (avg(energy) + 1e-6), 4) AS peakiness, round(arg_max(x, t) - arg_min(x, t), 4) AS dx,
-    CASE WHEN sum(sa) >= sum(sb) THEN 'a' ELSE 'b' END AS lead, CASE WHEN arg_max(y, t) - arg_min(y, t) < -0.1 THEN 'drop' WHEN arg_max(y, t) - arg_min(y, t) > 0.1 THEN 'jump/rise' END AS level FROM j GROUP BY 1, 2""")
+    CASE WHEN sum(sa) >= sum(sb) THEN 'a' ELSE 'b' END AS lead, CASE WHEN min(y) - arg_min(y, t) < -0.1 THEN CASE WHEN arg_max(y, t) - arg_min(y, t) > 0.5 * (min(y) - arg_min(y, t)) THEN 'drop and up' ELSE 'drop' END WHEN max(y) - arg_min(y, t) > 0.1 THEN 'jump/rise' END AS level FROM j GROUP BY 1, 2""")
 def step_features(spark, d):
     """A user's days as steps; event values play speeds and positions."""
     e = events(spark, d)

@@ -87,7 +87,8 @@ def rebase(pc: Column, requested: Column, end: Column) -> Column:
     """Move a proposal's count 1; alternates are re-expressed from the new 1.
 
     ``pc`` is a struct with count_one_s, seconds_per_count and
-    count_one_alternates (array of struct count_one_s, shift_counts, confidence).
+    count_one_alternates (array of struct count_one_s, shift_counts, confidence);
+    its other fields are kept.
     """
     spc, old = pc["seconds_per_count"], pc["count_one_s"]
     at = snap(old, spc, requested, end)
@@ -106,11 +107,10 @@ def rebase(pc: Column, requested: Column, end: Column) -> Column:
     first = F.filter(F.array(alt(old, -k, share)), lambda a: F.pmod(k, F.lit(4)) != 0)
     alts = F.filter(F.concat(first, moved), lambda a: (a["count_one_s"] >= 0) & (a["count_one_s"] <= end))
     alts = F.slice(alts, 1, 3)
-    return F.when(at["reason"].isNull(), F.struct(
-        new.alias("count_one_s"), spc.alias("seconds_per_count"), k.alias("moved_beats"),
-        count_total(new, spc, end).alias("count_total"), F.lit("owner").alias("count_one_source"),
-        F.lit(1.0).alias("count_one_confidence"),
-        F.when(F.size(alts) > 0, alts).alias("count_one_alternates")))
+    # Every other field of the proposal stays as it is.
+    out = (pc.withField("count_one_s", new).withField("moved_beats", k).withField("count_total", count_total(new, spc, end))
+           .withField("count_one_source", F.lit("owner")).withField("count_one_confidence", F.lit(1.0)).withField("count_one_alternates", F.when(F.size(alts) > 0, alts)))
+    return F.when(at["reason"].isNull(), out)
 
 
 def carried_pick(picked: Column, shift_self: Column, shift_copy: Column, one: Column, spc: Column,

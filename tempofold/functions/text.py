@@ -143,11 +143,15 @@ def referrer_host(url: Column, own: Column | str) -> Column:
 
 
 def clean_url(url: Column) -> Column:
-    """Query dropped except ``v``, fragment dropped."""
+    """Query dropped except every ``v`` with a value, decoded and encoded again; fragment dropped."""
     bare = F.regexp_replace(url, r"[?#].*$", "")
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    v = F.regexp_extract(F.concat(F.lit("&"), query), r"&v=([^&]+)", 1)
-    return F.when(v == "", bare).otherwise(F.concat(bare, F.lit("?v="), v))
+    plain = lambda x: F.coalesce(F.try_url_decode(x), x)
+    # The form encoding keeps "*" and escapes "~"; a query has it the other way round.
+    coded = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    pairs = F.filter(F.split(query, "&"), lambda p: (plain(F.substring_index(p, "=", 1)) == "v") & p.rlike("=."))
+    kept = F.transform(pairs, lambda p: F.concat(F.lit("v="), coded(plain(F.regexp_extract(p, "=(.*)$", 1)))))
+    return F.when(F.size(kept) > 0, F.concat(bare, F.lit("?"), F.array_join(kept, "&"))).otherwise(bare)
 
 
 def source_key(extractor: Column, item: Column) -> Column:

@@ -208,24 +208,30 @@ def accent_retention(raw: DataFrame, smooth: DataFrame, peaks: DataFrame, keys:
 
 
 def band_power(df: DataFrame, keys: Sequence[str], value: str, fps: float, low: float = 3.0, high: float = 5.0, run: int = 1024) -> DataFrame:
-    """Spectral power at or below ``low`` Hz (without the mean) and at or above ``high``, per run of ``run`` samples.
+    """Spectral power at or below ``low`` Hz (without the mean) and at or above ``high``, of each whole series.
 
-    A run is as long as the longest clip; longer series are read run by run, so
-    no array grows with its key.
+    A sum over a series splits into sums over its runs: each run of ``run`` samples gives its share of
+    every frequency's cosine and sine sum, and the shares meet per (key, frequency). A series of one
+    sample has no frequency and no power.
     """
-    @F.pandas_udf("low double, high double")
-    def spectrum(rows: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("array<struct<k:bigint,c:double,s:double>>")
+    def shares(xs: pd.Series, first: pd.Series, n: pd.Series) -> pd.Series:
         out = []
-        for row in rows:
-            x = np.asarray(row, dtype=float)
-            p = np.abs(np.fft.rfft(x - x.mean())) ** 2
-            f = np.fft.rfftfreq(len(x), d=1.0 / fps)
-            out.append((p[(f > 0) & (f <= low)].sum(), p[f >= high].sum()))
-        return pd.DataFrame(out, columns=["low", "high"])
-
-    runs = df.groupBy(*keys, F.floor(F.col("idx") / run).alias("run")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("idx", F.col(value).cast("double").alias("v")))), lambda s: s["v"]).alias("_x"))
-    return runs.withColumn("_p", spectrum("_x")).select(*keys, "run", F.col("_p.low").alias("low"), F.col("_p.high").alias("high"))
+        for x, i, size in zip(xs, first, n):
+            k = np.arange(1, size // 2 + 1)
+            turn = 2 * np.pi / size * (np.outer(k, np.arange(i, i + len(x))) % size)
+            v = np.asarray(x, dtype=float)
+            out.append([{"k": int(f), "c": float(c), "s": float(s)} for f, c, s in zip(k, np.cos(turn) @ v, np.sin(turn) @ v)])
+        return pd.Series(out)
+
+    whole = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.avg(value).alias("_m"))
+    # The mean falls out of every frequency above zero; taken off first, it costs no digits.
+    x = df.join(whole, list(keys)).withColumn("_v", F.col(value).cast("double") - F.col("_m"))
+    runs = x.groupBy(*keys, "_n", F.floor(F.col("idx") / run).alias("_run")).agg(F.array_sort(F.collect_list(F.struct("idx", "_v"))).alias("_x"))
+    part = runs.select(*keys, "_n", F.explode(shares(F.transform("_x", lambda r: r["_v"]), F.col("_run") * run, F.col("_n"))).alias("_f"))
+    power = part.groupBy(*keys, "_n", "_f.k").agg((F.pow(F.sum("_f.c"), 2) + F.pow(F.sum("_f.s"), 2)).alias("_p")).withColumn("_hz", F.col("k") * fps / F.col("_n"))
+    bands = power.groupBy(*keys).agg(F.sum(F.when(F.col("_hz") <= low, F.col("_p"))).alias("low"), F.sum(F.when(F.col("_hz") >= high, F.col("_p"))).alias("high"))
+    return whole.select(*keys).join(bands, list(keys), "left").fillna(0.0, ["low", "high"])
 
 
 def suppression_counts(samples: DataFrame, by: str, top: int = 8) -> DataFrame:

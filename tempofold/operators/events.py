@@ -39,13 +39,13 @@ CORRECTIONS = ("tap_on_one", "count_one_nudged", "count_one_alternate")
 LESSON_RULE = "^[A-Za-z0-9_-]{1,64}$"
 
 
-def client_items(batches: DataFrame, body: str = "body") -> DataFrame:
-    """Explode JSON-array bodies into (pos, name, props, lesson); oversize and non-array bodies vanish.
+def client_items(batches: DataFrame, body: str = "body", max_body_bytes: int = MAX_BODY_BYTES, max_batch: int = MAX_BATCH) -> DataFrame:
+    """Explode JSON-array bodies into (pos, name, props, lesson). What the ingest rule leaves out is counted by ``rejected``.
 
     ``props`` is a VARIANT so that JSON types survive to validation.
     """
-    parsed = F.try_parse_json(F.when(F.octet_length(body) <= MAX_BODY_BYTES, F.col(body)))
-    items = F.slice(F.try_variant_get(parsed, "$", "array<variant>"), 1, MAX_BATCH)
+    parsed = F.try_parse_json(F.when(F.octet_length(body) <= max_body_bytes, F.col(body)))
+    items = F.slice(F.try_variant_get(parsed, "$", "array<variant>"), 1, max_batch)
 
     def text(v: Column) -> Column:
         return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
@@ -60,6 +60,15 @@ def client_items(batches: DataFrame, body: str = "body") -> DataFrame:
     return flat.filter("_item.object").select(*rest, "pos", "_item.name", "_item.props", "_item.lesson")
 
 
+def rejected(batches: DataFrame, body: str = "body", max_body_bytes: int = MAX_BODY_BYTES, max_batch: int = MAX_BATCH) -> DataFrame:
+    """reason, bodies, items: what ``client_items`` leaves out by rule - bodies too large or no array, items past the batch limit."""
+    large = F.octet_length(body) > max_body_bytes
+    n = F.size(F.try_variant_get(F.try_parse_json(F.when(~large, F.col(body))), "$", "array<variant>"))
+    over = F.greatest(F.coalesce(n, F.lit(0)) - max_batch, F.lit(0))
+    reason = F.when(large, "body too large").when(n.isNull(), "no array").when(over > 0, "past the batch limit")
+    return batches.select(reason.alias("reason"), over.cast("bigint").alias("_n")).filter("reason is not null").groupBy("reason").agg(F.count("*").alias("bodies"), F.sum("_n").alias("items"))
+
+
 def _prop(props: Column | str, key: str) -> Column:
     return F.try_variant_get(props, f"$.{key}", "variant")
 
@@ -89,9 +98,13 @@ def validate_events(items: DataFrame) -> DataFrame:
     The rules are constants, so each becomes an expression: no explode, no join, no shuffle.
     """
     shape = F.schema_of_variant("props")
-    empty = (F.col("props").isNull() | (shape == "VOID")
-             | F.coalesce(F.try_variant_get("props", "$", "string").isin("", "0", "false", "[]", "{}"), F.lit(False))
-             | shape.isin("ARRAY<VOID>", "OBJECT<>"))
+    # Nothing, false, zero, and an empty text, list or object count as no props; a text that spells one of them does not.
+    number = shape.isin("BIGINT", "DOUBLE", "FLOAT") | shape.startswith("DECIMAL")
+    empty = (F.col("props").isNull() | (shape == "VOID") | (shape == "OBJECT<>")
+             | F.coalesce((shape == "BOOLEAN") & ~F.try_variant_get("props", "$", "boolean"), F.lit(False))
+             | F.coalesce(number & (F.try_variant_get("props", "$", "double") == 0), F.lit(False))
+             | F.coalesce((shape == "STRING") & (F.try_variant_get("props", "$", "string") == ""), F.lit(False))
+             | F.coalesce((shape == "ARRAY<VOID>") & (F.size(F.try_variant_get("props", "$", "array<variant>")) == 0), F.lit(False)))
     obj = empty | shape.startswith("OBJECT")
     bodies, checks = [], F.lit(False)
     for name, rules in ALLOWLIST.items():
@@ -159,15 +172,17 @@ def forward_gate(log: DataFrame, cap: int = FORWARD_DAILY_CAP, at: str = "occurr
 
 
 def forward_payload(log: DataFrame) -> DataFrame:
-    """One JSON document per event for the analytics vendor: no IP, no geo, no person profile."""
-    props = F.coalesce(F.from_json("props", "map<string,string>"), F.create_map().cast("map<string,string>"))
-    fixed = F.create_map(F.lit("$process_person_profile"), F.lit("false"), F.lit("$geoip_disable"), F.lit("true"),
-                         F.lit("$ip"), F.lit(None).cast("string"))
-    lesson = F.when(F.col("job_id").isNotNull(), F.create_map(F.lit("lesson"), F.col("job_id"))).otherwise(
-        F.create_map().cast("map<string,string>"))
-    merged = F.map_from_entries(F.concat(
-        F.filter(F.map_entries(props), lambda e: ~e["key"].isin("lesson", "$process_person_profile", "$geoip_disable", "$ip")),
-        F.map_entries(lesson), F.map_entries(fixed)))
+    """One JSON document per event for the analytics vendor: no IP, no geo, no person profile.
+
+    Values keep their JSON types: a quoted "false" would switch a privacy flag on.
+    """
+    none = F.expr("cast(map() as map<string,variant>)")
+    props = F.coalesce(F.try_variant_get(F.try_parse_json("props"), "$", "map<string,variant>"), none)
+    fixed = F.create_map(F.lit("$process_person_profile"), F.parse_json(F.lit("false")), F.lit("$geoip_disable"), F.parse_json(F.lit("true")),
+                         F.lit("$ip"), F.parse_json(F.lit("null")))
+    lesson = F.when(F.coalesce(F.col("job_id"), F.lit("")) != "", F.create_map(F.lit("lesson"), F.col("job_id").cast("variant"))).otherwise(none)
+    replaced = F.concat(F.map_keys(lesson), F.map_keys(fixed))
+    merged = F.map_from_entries(F.concat(F.filter(F.map_entries(props), lambda e: ~F.array_contains(replaced, e["key"])), F.map_entries(lesson), F.map_entries(fixed)))
     return log.withColumn("payload", F.to_json(F.struct(
         F.col("name").alias("event"), F.coalesce("visitor", "job_id").alias("distinct_id"),
         F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), merged.alias("properties")),

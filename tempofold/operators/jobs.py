@@ -142,7 +142,9 @@ def touch_writes(opens: DataFrame, clip: str = "clip_id", t: str = "t") -> DataF
                 flags.append(hit)
             yield pdf.assign(writes=flags)
 
-    return opens.repartition(F.col(clip)).sortWithinPartitions(clip, t).mapInPandas(fold, schema)
+    # Opens of one moment are alike to the rule; the other columns fix which of them writes.
+    ties = [c for c in opens.columns if c not in (clip, t)]
+    return opens.repartition(F.col(clip)).sortWithinPartitions(clip, t, *ties).mapInPandas(fold, schema)
 
 
 def recent_succeeded(jobs: DataFrame, limit: int, created: str = "created_at", tie: str = "job_id") -> DataFrame:

@@ -34,14 +34,17 @@ def tune(spark: SparkSession) -> SparkSession:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the cluster's shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``; only when the cluster names
-    none (tests) does this pick one. Blocks written there outlive a lost executor.
+    The folder comes from ``spark.checkpoint.dir``. Only a local master, where
+    driver and executors are one process, may go without: a cluster that names
+    none is refused. Blocks written there outlive a lost executor.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named:
+            if not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             import tempfile
 
             named = tempfile.mkdtemp(prefix="tempofold-checkpoint-")

@@ -36,8 +36,10 @@ def job_created(jobs: DataFrame) -> DataFrame:
 def fold_old_days(spark: SparkSession, log_path: str, rolled_path: str, cutoff: str, dry_run: bool = False) -> int:
     """Roll up whole days before ``cutoff`` and drop their partitions; returns the rows folded.
 
-    The roll-up is appended before anything is dropped. A crash in between is
-    safe: the rerun's anti join adds nothing and the drop happens then.
+    The roll-up is appended before anything is dropped, and exactly the files that
+    were rolled up are dropped: a file that arrives in between stays for the next
+    run. A crash in between is safe: the rerun's anti join adds nothing and the drop
+    happens then.
     """
     from ..operators import events
     from .readers import event_log
@@ -53,9 +55,9 @@ def fold_old_days(spark: SparkSession, log_path: str, rolled_path: str, cutoff:
     existing = spark.read.schema(schemas.EVENT_DAILY).parquet(rolled_path) if fs.exists(fs_path(rolled_path)) else None
     rows = old.withColumn("visitor", F.hex("day_hash"))
     events.rollup(rows, F.lit(cutoff).cast("timestamp"), existing).write.mode("append").parquet(rolled_path)
-    # One folder per day of the log: as many names as there are old days.
-    for row in old.select("day").distinct().toLocalIterator():
-        fs.delete(fs_path(f"{log_path}/day={row.day}"), True)
+    # The listing that ``old`` was read by, one name per file of the old days.
+    for row in old.select("_metadata.file_path").distinct().toLocalIterator():
+        fs.delete(fs_path(jvm.java.net.URI(row.file_path)), False)
     return n
 
 

@@ -88,3 +88,26 @@ def test_play_buckets_flush_on_change(spark):
     df = spark.createDataFrame([("v", *p) for p in plays], "visitor string, t double, id int, lesson string, s double")
     got = [(r.lesson, r.buckets, r.rest_s) for r in ev.play_buckets(df, "visitor", "lesson", "t", "id", "s", width_s=2.0).orderBy("from_t").collect()]
     assert got == [("a", 2, 5), ("b", 0, 10), ("a", 0, 30)]
+
+
+def test_only_empty_values_count_as_no_props(spark):
+    shapes = {'"false"': False, '"0"': False, '"[]"': False, "[null]": False, "[1]": False, "1": False, "true": False, '""': True, "[]": True, "{}": True, "0": True, "0.0": True, "false": True, "null": True}
+    body = "[" + ",".join(f'{{"name":"link_copied","props":{p},"lesson":"l{k}"}}' for k, p in enumerate(shapes)) + "]"
+    got = ev.validate_events(ev.client_items(spark.createDataFrame([(body,)], "body string")))
+    assert {int(r.lesson[1:]) for r in got.collect()} == {k for k, ok in enumerate(shapes.values()) if ok}
+
+
+def test_rejects_are_counted(spark):
+    bodies = ["[" + " " * 20000 + "]", "{}", "nonsense", "[" + ",".join(["{}"] * 60) + "]", "[]"]
+    got = {r.reason: (r.bodies, r["items"]) for r in ev.rejected(spark.createDataFrame([(b,) for b in bodies], "body string")).collect()}
+    assert got == {"body too large": (1, 0), "no array": (2, 0), "past the batch limit": (1, 10)}
+
+
+def test_payload_keeps_json_types(spark):
+    import json
+
+    log = spark.createDataFrame([("loop_created", "v", "job_1", '{"seconds":5,"snapped":true,"via":"drag","x":1.5,"lesson":"other"}'), ("dispatch", None, "job_2", None)], "name string, visitor string, job_id string, props string")
+    got = [json.loads(r.payload) for r in ev.forward_payload(log.withColumn("occurred_at", F.lit("2024-01-01").cast("timestamp"))).collect()]
+    fixed = {"$process_person_profile": False, "$geoip_disable": True, "$ip": None}
+    assert got[0]["properties"] == {"seconds": 5, "snapped": True, "via": "drag", "x": 1.5, "lesson": "job_1", **fixed}
+    assert got[1]["properties"] == {"lesson": "job_2", **fixed} and got[1]["distinct_id"] == "job_2"

@@ -31,7 +31,8 @@ def test_error_classes(spark, msg, want):
     assert _one(spark, msg, lambda c: text.classify_error(c)["code"]) == want
 
 
-@pytest.mark.parametrize("url,want", [("https://x.com/a?v=1&t=2#z", "https://x.com/a?v=1"), ("https://x.com/a?si=9", "https://x.com/a"), ("https://x.com/a", "https://x.com/a")])
+@pytest.mark.parametrize("url,want", [("https://x.com/a?v=1&t=2#z", "https://x.com/a?v=1"), ("https://x.com/a?si=9", "https://x.com/a"), ("https://x.com/a", "https://x.com/a"),
+                                      ("https://x.com/a?v=1&v=b%20c*~&v=&xv=2", "https://x.com/a?v=1&v=b+c%2A~"), ("https://x.com/a?v=%zz", "https://x.com/a?v=%25zz")])
 def test_clean_url(spark, url, want):
     assert _one(spark, url, text.clean_url) == want
 
@@ -55,6 +56,9 @@ def test_snap_and_rebase(spark):
     assert (r.a.count_one_s, r.a.count_total, r.a.count_one_source) == (1.5, 18, "owner")
     assert [tuple(x) for x in r.a.count_one_alternates] == [(1.0, -1, 0.7)]
     assert (r.b.t, r.b.beats) == (0.3, 0) and r.c is None
+    full = F.expr("named_struct('bpm', 120.0D, 'warnings', array('w'), 'count_one_s', 1.0D, 'seconds_per_count', 0.5D, 'count_one_alternates', cast(null as array<struct<count_one_s:double,shift_counts:bigint,confidence:double>>))")
+    kept = spark.range(1).select(C.rebase(full, F.lit(1.6), F.lit(10.0)).alias("a")).first().a
+    assert (kept.bpm, kept.warnings, kept.count_one_confidence) == (120.0, ["w"], 1.0)
 
 
 def test_quarter_labels(spark):

@@ -126,9 +126,12 @@ class ByteHash:
     def __init__(self, data: np.ndarray):
         n = len(data) + 1
         if len(ByteHash._up) < n:
-            ByteHash._up, ByteHash._down = _powers(_BASE, 2 * n), _powers(_INVERSE, 2 * n)
+            ByteHash._up, ByteHash._down = _powers(_BASE, n + n // 4), _powers(_INVERSE, n + n // 4)
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * ByteHash._up[: n - 1], out=self.sums[1:])
+        self.sums[1:] = data
+        self.sums[1:] += np.uint64(1)
+        self.sums[1:] *= ByteHash._up[: n - 1]
+        np.cumsum(self.sums, out=self.sums)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * ByteHash._down[start])

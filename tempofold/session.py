@@ -50,3 +50,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
             named = tempfile.mkdtemp(prefix="tempofold-checkpoint-")
         context.setCheckpointDir(named)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path beside the checkpoints, in the folder that every executor shares; local masters may use their own disk."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        root = f"file://{tempfile.gettempdir()}/tempofold-scratch"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

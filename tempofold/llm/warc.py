@@ -27,8 +27,11 @@ from . import common
 BREAK, START = "\r\n\r\n", "WARC/1.1\r\n"
 #: Records of one monolithic archive at most: bounds its size, for one task inflates a whole archive.
 RECORDS_PER_FILE = 20_000
+#: Revisits that may be broadcast to the scan of the pages.
+BROADCAST_ROWS = 200_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-MEMBERS = "archive string, seq long, offset long, length long, record_type string, record_id string, member binary"
+MEMBERS = "archive string, seq long, member binary"
+INDEX = "archive string, seq long, offset long, length long, record_type string, record_id string"
 RECORDS = "record_type string, record_id string, target string, date string, refers_to string, digest string, payload_bytes long, payload binary, checked boolean"
 
 
@@ -51,7 +54,7 @@ def revisits(pages: DataFrame, least: int = 0, id_col: str = "page_id", payload_
     return keys.join(keep, "digest").where("page_id <> keep").select("page_id", "digest", "keep").distinct()
 
 
-def record(pages: DataFrame, least: int = 0, date: str = "2020-01-01T00:00:00Z", id_col: str = "page_id", payload_col: str = "html", url_col: str = "url") -> DataFrame:
+def record(pages: DataFrame, least: int = 0, date: str = "2020-01-01T00:00:00Z", id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One text row per row of ``pages``: a whole WARC record without its closing breaks.
 
     Null payloads are empty, null urls an empty target. A row without an id is a response of its own.
@@ -60,7 +63,10 @@ def record(pages: DataFrame, least: int = 0, date: str = "2020-01-01T00:00:00Z",
     """
     uri = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\x00-\x20\x7F]+", "%20").alias("target"))
-    rows = rows.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256)).join(revisits(pages, least, id_col, payload_col), ["page_id", "digest"], "left")
+    # Where few records revisit others their keys go to the scan; else the records are shuffled to them.
+    again = common.written(revisits(pages, least, id_col, payload_col), "warc-revisits")
+    again = F.broadcast(again) if again.count() <= broadcast_rows else again
+    rows = rows.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256)).join(again, ["page_id", "digest"], "left")
     again = F.col("keep").isNotNull()
     head = F.concat(
         F.lit(START), F.lit("WARC-Type: "), F.when(again, "revisit").otherwise("response"), F.lit("\r\nWARC-Record-ID: "), F.coalesce(uri(F.col("page_id")), F.lit("<urn:page:>")),
@@ -112,58 +118,75 @@ def fields(head: bytes) -> dict[str, str]:
 
 
 def members(mono: DataFrame) -> DataFrame:
-    """Each record as a gzip member, with its place in the archive that they make up in order."""
+    """Each record as a gzip member without its last byte, in the order of its archive."""
     return mono.mapInArrow(_members, MEMBERS)
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [c.split()[0] for c in MEMBERS.split(", ")]
-    rows, size, file, seq, offset = [], 0, None, 0, 0
+    kinds = (pa.string(), pa.int64(), pa.binary())
+    make = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["archive", "seq", "member"])
+    rows, size, file, seq = [], 0, None, 0
     for name, data in whole_records(batches):
         if name != file:
-            file, seq, offset = name, 0, 0
-        kind = fields(data[: data.index(BREAK.encode())])
+            file, seq = name, 0
         pack = zlib.compressobj(6, zlib.DEFLATED, 31)
         member = pack.compress(data + BREAK.encode()) + pack.flush()
         if member[-1]:  # 16 MiB or more: an empty member brings the zero that the sink's separator stands for
-            tail = zlib.compressobj(6, zlib.DEFLATED, 31)
-            member += tail.flush()
-        rows.append((name, seq, offset, len(member), kind.get("warc-type"), kind.get("warc-record-id"), member[:-1]))
-        seq, offset, size = seq + 1, offset + len(member), size + len(member)
+            member += zlib.compressobj(6, zlib.DEFLATED, 31).flush()
+        rows.append((name, seq, member[:-1]))
+        seq, size = seq + 1, size + len(member)
         if size > 4_000_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+            yield make(rows)
             rows, size = [], 0
     if rows:
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+        yield make(rows)
 
 
 def normalise(spark: SparkSession, source: str, out: str) -> None:
-    """Monolithic archives under ``source`` -> ``out``/archives/archive=<name>/ and ``out``/index (a table: archive, seq, offset, length, type, id)."""
-    staged = common.written(members(pieces(spark, source)), "warc-members")
-    staged.drop("member").write.parquet(f"{out}/index")
-    ordered = staged.select("archive", "seq", "member").repartition("archive").sortWithinPartitions("archive", "seq")
+    """Monolithic archives under ``source`` -> ``out``/archives/archive=<name>/ and ``out``/index (a table: archive, seq, offset, length, type, id).
+
+    One task inflates a whole archive and writes it again, so nothing is shuffled; the index is taken
+    from what was written.
+    """
+    ordered = members(pieces(spark, source)).sortWithinPartitions("archive", "seq")
     ordered.select("archive", F.col("member").cast("string").alias("value")).write.partitionBy("archive").option("lineSep", "\0").text(f"{out}/archives")
+    archives(spark, out).select(F.regexp_extract("path", r"/archive=([^/]+)/", 1).alias("archive"), "content").mapInArrow(_index, INDEX).write.parquet(f"{out}/index")
+
+
+def archives(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{out}/archives")
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    for batch in batches:
+        for name, content in zip(batch.column("archive").to_pylist(), batch.column("content")):
+            rows = []
+            for start, end, data in split_members(content.as_py()):
+                if data:
+                    head = fields(data[: data.index(BREAK.encode())])
+                    rows.append((name, len(rows), start, end - start, head.get("warc-type"), head.get("warc-record-id")))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [c.split()[0] for c in INDEX.split(", ")])
 
 
 def read_records(spark: SparkSession, out: str) -> DataFrame:
     """Every record of the normalised archives, parsed; ``checked`` where the digest of the payload was recomputed and met."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{out}/archives")
-    return files.select("content").mapInArrow(_records, RECORDS)
+    return archives(spark, out).select("content").mapInArrow(_records, RECORDS)
 
 
-def split_members(data: bytes) -> Iterator[bytes]:
-    """The inflated members of an archive, one at a time."""
+def split_members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """Start, end and inflated bytes of each member of an archive."""
     view, at = memoryview(data), 0
     while at < len(view):
-        pull, parts = zlib.decompressobj(31), []
+        pull, parts, start = zlib.decompressobj(31), [], at
         while not pull.eof:
             if at >= len(view):
                 raise ValueError("an archive ends within a member")
             chunk = view[at : at + 65536]
             parts.append(pull.decompress(chunk))
             at += len(chunk) - len(pull.unused_data)
-        yield b"".join(parts)
+        yield start, at, b"".join(parts)
 
 
 def parse(record: bytes) -> tuple:
@@ -183,7 +206,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
             rows, size = [], 0
-            for data in split_members(content.as_py()):
+            for _, _, data in split_members(content.as_py()):
                 if data:
                     rows.append(parse(data))
                     size += len(data)

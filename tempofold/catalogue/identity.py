@@ -20,12 +20,14 @@ def near_dup_pairs(spark, d):
     return out.select("a", "b")
 
 
-@query("prefix_pairs", f"""WITH {UPL}, {REPS} SELECT x.vec_id AS a, y.vec_id AS b FROM reps x JOIN reps y ON x.vec_id < y.vec_id AND {SAME}
-  AND CAST(x.dbits AS VARCHAR)[1:8] = CAST(y.dbits AS VARCHAR)[1:8]""")
+@query("prefix_pairs", f"""WITH {UPL}, {REPS} SELECT x.vec_id AS a, y.vec_id AS b, CAST(x.dbits AS VARCHAR)[1:8] = CAST(y.dbits AS VARCHAR)[1:8] AS by_prefix FROM reps x JOIN reps y ON x.vec_id < y.vec_id AND {SAME}""")
 def prefix_pairs(spark, d):
+    """The narrowed lookup beside the lossless join: every pair, and whether the leading bits would have found it."""
     reps, _ = identity.collapse(_fps(spark, d), "vec_id")
-    out = identity.prefix_pairs(reps.withColumnRenamed("vec_id", "a"), reps.withColumnRenamed("vec_id", "b"), "a", "b", 8)
-    return out.filter("a < b").select("a", "b")
+    a, b = reps.withColumnRenamed("vec_id", "a"), reps.withColumnRenamed("vec_id", "b")
+    every = identity.near_duplicate_pairs(a, b, "a", "b").filter("a < b")
+    fast = identity.prefix_pairs(a, b, "a", "b", 8).withColumn("by_prefix", F.lit(True))
+    return every.join(fast, ["a", "b"], "left").select("a", "b", F.coalesce("by_prefix", F.lit(False)).alias("by_prefix"))
 
 
 @query("hash_words", f"WITH {VEC} SELECT vec_id, CAST(bit_count(abits) AS BIGINT) AS a_bits, CAST(bit_count(dbits) AS BIGINT) AS d_bits, CAST(bit_count(xor(abits, dbits)) AS BIGINT) AS apart FROM vec")

@@ -164,11 +164,17 @@ def daily_cap(log: DataFrame, cap: int = DAILY_CAP, visitor: str = "visitor", at
 
 
 def forward_gate(log: DataFrame, cap: int = FORWARD_DAILY_CAP, at: str = "occurred_at", tie: str = "id",
-                 width_s: float = 600.0) -> DataFrame:
-    """Rows that may be forwarded: the day's running total, this row included, is within the cap."""
+                 width_s: float = 600.0, before: DataFrame | None = None) -> DataFrame:
+    """Rows that may be forwarded: the day's running total, this row included, is within the cap.
+
+    ``before`` (day, n) holds what earlier batches of the day had; a row per day.
+    """
     rows = log.withColumn("_day", F.to_date(at)).withColumn("_t", ordered.seconds(at))
     done = ordered.dense_index(rows, ["_day"], ["_t", tie], ordered.time_bucket("_t", width_s), idx="_i")
-    return done.withColumn("today", F.col("_i") + 1).filter(F.col("today") <= cap).drop("_day", "_t", "_i")
+    if before is not None:
+        done = done.join(before.select(F.col("day").alias("_day"), F.col("n").alias("_n")), "_day", "left")
+    had = F.lit(0) if before is None else F.coalesce("_n", F.lit(0))
+    return done.withColumn("today", F.col("_i") + 1 + had).filter(F.col("today") <= cap).drop("_day", "_t", "_i", "_n")
 
 
 def forward_payload(log: DataFrame) -> DataFrame:

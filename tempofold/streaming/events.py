@@ -41,10 +41,14 @@ def capped(rows: DataFrame, cap: int = events.DAILY_CAP, at: str = "occurred_at"
     return _keyed(daily, ["visitor", "_day"], state.DailyCap(cap, rows.columns, at), rows.schema, time="EventTime")
 
 
-def limited(rows: DataFrame, key: str, limits: Sequence[tuple[float, int]]) -> DataFrame:
-    """Sliding-window limits with refused rows flagged, not dropped."""
+def limited(rows: DataFrame, key: str, limits: Sequence[tuple[float, int]], expire: bool = False) -> DataFrame:
+    """Sliding-window limits with refused rows flagged, not dropped.
+
+    With ``expire`` a key that is silent for the widest span leaves the state; that needs a trigger that
+    goes on, since a stream with a clock never runs out of batches.
+    """
     out = T.StructType([*rows.schema.fields, T.StructField("accepted", T.BooleanType())])
-    return _keyed(rows, [key], state.SlidingLimiter(list(limits), rows.columns), out)
+    return _keyed(rows, [key], state.SlidingLimiter(list(limits), rows.columns, expire=expire), out, time="ProcessingTime" if expire else "None")
 
 
 def limited_globally(rows: DataFrame, limit: int = events.GLOBAL_DAY) -> DataFrame:
@@ -67,10 +71,14 @@ def stale_exports(status: DataFrame, watermark: str = "10 seconds") -> DataFrame
     return _keyed(rows, ["job_id"], state.StaleExport(jobs.EXPORT_STAGE), out, time="EventTime")
 
 
-def latest_status(status: DataFrame) -> DataFrame:
-    """Newest status per job as an update stream."""
+def latest_status(status: DataFrame, keep_days: int | None = None) -> DataFrame:
+    """Newest status per job as an update stream.
+
+    With ``keep_days`` a job that is silent so long is forgotten; that needs a trigger that goes on, since
+    a stream with a clock never runs out of batches.
+    """
     rows = status.withColumn("updated_ms", F.unix_millis("updated_at"))
-    return _keyed(rows, ["job_id"], state.LatestStatus(status.columns), status.schema, mode="update")
+    return _keyed(rows, ["job_id"], state.LatestStatus(status.columns, keep_days and keep_days * state.DAY_MS), status.schema, mode="update", time="ProcessingTime" if keep_days else "None")
 
 
 def daily_counts(log: DataFrame, lateness: str = "1 day") -> DataFrame:
@@ -118,9 +126,9 @@ def append_log(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None
 
 def append_live(rows: DataFrame, tombstones: Callable[[], DataFrame], path: str, checkpoint: str, clip: str = "clip_id",
                 trigger: dict | None = None) -> StreamingQuery:
-    """Append rows whose lesson is still up; tombstones are read afresh for every micro-batch."""
-    def write(batch: DataFrame, _: int) -> None:
-        batch.join(tombstones().select(clip), clip, "left_anti").write.mode("append").parquet(path)
+    """Rows whose lesson is still up; tombstones are read afresh for every micro-batch. A batch that is tried again overwrites its own folder."""
+    def write(batch: DataFrame, n: int) -> None:
+        batch.join(tombstones().select(clip), clip, "left_anti").write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "15 seconds"})).start()
 
@@ -139,9 +147,16 @@ def route_late(rows: DataFrame, rolled: Callable[[], DataFrame], log_path: str,
 
 def forward(rows: DataFrame, send: Callable[[DataFrame, int], None], checkpoint: str, cap: int = events.FORWARD_DAILY_CAP,
             trigger: dict | None = None) -> StreamingQuery:
-    """Vendor payloads in batches of twenty, while the day's total is within the cap. ``send`` gets (payloads, batch number)."""
+    """Vendor payloads in batches of twenty, while the day's total is within the cap. ``send`` gets (payloads, batch number).
+
+    Each batch leaves its rows per day in a folder of its own beside the checkpoint, so the cap holds
+    over batches, and a batch that is tried again counts once.
+    """
     def write(batch: DataFrame, n: int) -> None:
-        gated = events.forward_gate(batch, cap)
+        totals = f"{checkpoint}-totals"
+        batch.groupBy(F.to_date("occurred_at").alias("day")).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{totals}/batch={n}")
+        had = batch.sparkSession.read.schema("day date, n bigint, batch bigint").parquet(totals).filter(F.col("batch") < n).groupBy("day").agg(F.sum("n").alias("n"))
+        gated = events.forward_gate(batch, cap, before=had)
         send(batch_ids(events.forward_payload(gated).withColumn("_t", ordered.seconds("occurred_at")), [], "_t", "id").drop("_t"), n)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "15 seconds"})).start()

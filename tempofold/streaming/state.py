@@ -54,11 +54,13 @@ class SlidingLimiter(StatefulProcessor):
     everybody is the same processor under one key, which one task must hold.
     """
 
-    def __init__(self, limits: list[tuple[float, int]], columns: list[str], t: str = "t"):
-        self.limits, self.columns, self.t = limits, columns, t
+    def __init__(self, limits: list[tuple[float, int]], columns: list[str], t: str = "t", expire: bool = False):
+        self.limits, self.columns, self.t, self.expire = limits, columns, t, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("kept", T.StructType([T.StructField("t", T.DoubleType())]))
+        # A key that is silent for the widest span has nothing left to remember.
+        ttl = int(1000 * max(s for s, _ in self.limits)) if self.expire else None
+        self.kept = handle.getListState("kept", T.StructType([T.StructField("t", T.DoubleType())]), ttlDurationMs=ttl)
 
     def handleInputRows(self, key, rows, timerValues):
         widest = max(s for s, _ in self.limits)
@@ -168,11 +170,11 @@ class StaleExport(StatefulProcessor):
 class LatestStatus(StatefulProcessor):
     """Newest status per job by (retry_count, updated_ms); rows of an older attempt or time are ignored."""
 
-    def __init__(self, columns: list[str]):
-        self.columns = columns
+    def __init__(self, columns: list[str], keep_ms: int | None = None):
+        self.columns, self.keep_ms = columns, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.at = handle.getValueState("at", T.StructType([T.StructField("retry", T.LongType()), T.StructField("ms", T.LongType())]))
+        self.at = handle.getValueState("at", T.StructType([T.StructField("retry", T.LongType()), T.StructField("ms", T.LongType())]), ttlDurationMs=self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["retry_count", "updated_ms"], kind="stable")

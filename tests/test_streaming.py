@@ -98,3 +98,12 @@ def test_sessions_and_lockouts(spark, tmp_path):
     assert got[:2] == [("v", 0, 0, True), ("v", 1, 30, False)]
     fails = _feed(spark, tmp_path / "f", "ip string, at timestamp", [("a", T(1, 1, 0, i)) for i in range(10)] + [("b", T(1, 1))], [("c", T(2, 1))])
     assert {r.ip for r in _run(se.lockouts(fails), tmp_path / "fs", "lock")} == {"a"}
+
+
+def test_forward_cap_holds_over_batches(spark, tmp_path):
+    sch = "id bigint, name string, visitor string, job_id string, props string, occurred_at timestamp"
+    row = lambda i, day=1: (i, "tap_on_one", "v", "j", "{}", T(day, 1, 0, i))
+    s = _feed(spark, tmp_path, sch, [row(1), row(2)], [row(3), row(4), row(5, 2)])
+    sent = []
+    se.forward(s, lambda df, n: sent.extend(r.id for r in df.collect()), str(tmp_path / "fw"), cap=3, trigger={"availableNow": True}).awaitTermination(120)
+    assert sorted(sent) == [1, 2, 3, 5]

@@ -28,7 +28,7 @@ WORDS, SIMILAR = 5, (4, 5)  # shingle length; the least similarity, as a fractio
 PLACES = 64  # min-hash values of a sketch
 TARGET = 0.9999  # of the pairs at the least similarity
 BUCKET = 128  # sets of a bucket that is compared without further splits
-BLOCK = 512  # sets of a side of one comparison task
+BLOCK = 256  # sets of a side of one comparison task
 LEVELS = 12  # deeper buckets are compared as they are, in blocks
 #: Standard errors below the least similarity at which a sketch still counts as a candidate.
 SLACK = 4.0

@@ -105,6 +105,7 @@ def judge(urls: DataFrame, rules=RULES, labels: Column | None = None, depth: int
     base = (F.col("tb") + 1) / (F.col("tk") + 2)
     across = (F.col("wb") + PRIOR * base) / (F.col("wk") + PRIOR)
     share = share.select("host", "template", ((F.col("b") + PRIOR * across) / (F.col("k") + PRIOR)).alias("purity"))
+    share = common.written(share, "urls-share")  # a table on either side, so that a hot host's partition can be split
     return placed.join(share, ["host", "template"]).select(
         "page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("purity") >= reject, "block").otherwise("allow")).alias("verdict"), "template", "purity")
 

@@ -17,8 +17,8 @@ from . import common
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Segments below this depth are one tail of the template.
 DEPTH = 6
-#: A branch needs so many urls, and so large a part of its node's, to keep its own name.
-BRANCH_URLS, BRANCH_SHARE = 5, 0.01
+#: A branch needs so many urls to keep its own name, and so many labels to be held against its siblings.
+BRANCH_URLS = 5
 #: Standard errors by which a branch's label share must differ from its siblings' to stay apart.
 APART = 2.0
 #: Weight, in labelled urls, of what a template borrows.
@@ -73,10 +73,10 @@ def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def _name() -> Column:
-    """A branch keeps its name unless it is rare (a value that varies) or, where labels tell, no different from its siblings."""
+    """A branch keeps its name unless it is rare (a value that varies) or, where labels tell, no different from its siblings. How large the host is does not count."""
     n, k, b = (F.col(c).cast("double") for c in ("n", "labelled", "blocked"))
     on, ok, ob = F.col("all_n") - n, F.col("all_labelled") - k, F.col("all_blocked") - b
-    rare = (on > 0) & ((n < BRANCH_URLS) | (n < BRANCH_SHARE * F.col("all_n")))
+    rare = (on > 0) & (n < BRANCH_URLS)
     pooled = (b + ob + 1) / (k + ok + 2)
     gap = F.abs((b + 0.5) / (k + 1) - (ob + 0.5) / (ok + 1)) / F.sqrt(pooled * (1 - pooled) * (1 / (k + 1) + 1 / (ok + 1)))
     alike = (k >= BRANCH_URLS) & (ok >= BRANCH_URLS) & (gap < APART)

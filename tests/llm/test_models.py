@@ -126,3 +126,10 @@ def test_templates_learn_from_labels(spark):
     assert urls.judge(df.where("false"), rules=(), labels=F.col("mark")).count() == 0
     wide = df.withColumns({"host": F.lit(1), "template": F.lit("x"), "verdict": F.lit(True), "node": F.lit(2), "seg": F.lit(3)})
     assert urls.judge(wide).count() == len(rows)
+
+
+def test_sections_of_a_hot_host_keep_their_labels(spark):
+    names = [f"{a}{b}" for a in "ghijklmnop" for b in "ghijklmnopqrstuvwxyz"]
+    rows = [(100 * s + k, f"http://hot.net/{name}/{k}", ("block" if s % 10 == 0 else "allow") if k < 6 else None) for s, name in enumerate(names) for k in range(10)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, mark string"), rules=(), labels=F.col("mark")).collect()
+    assert len(got) == len(rows) and {r.verdict for r in got if r.page_id // 100 % 10 == 0} == {"block"} and {r.verdict for r in got if r.page_id // 100 % 10} == {"allow"}

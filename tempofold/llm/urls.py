@@ -15,8 +15,6 @@ from . import common
 
 #: (allow or block, host and path): fits the host and its subdomains where the path starts with the rule's; the longest wins.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Segments below this depth are one tail of the template.
-DEPTH = 6
 #: A branch needs so many urls to keep its own name, and so many labels to be held against its siblings.
 BRANCH_URLS = 5
 #: Standard errors by which a branch's label share must differ from its siblings' to stay apart.
@@ -50,25 +48,32 @@ def shape(segment: Column) -> Column:
     return F.regexp_replace(hexes, r"[0-9]+", "{n}")
 
 
-def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """host, path, verdict -> with ``template``: the host's tree, one level of segments at a time.
+def templates(urls: DataFrame) -> DataFrame:
+    """host, path, verdict -> with ``template``: the host's tree, one level of segments at a time, down to the last segment.
 
-    Only (host, node, segment) counts are shuffled, summed within tasks first; the number of levels is
-    fixed, deeper segments are the tail ``**``.
+    Only (host, node, segment) counts are shuffled, summed within tasks first. A path alone at its node
+    has no siblings to be merged with, so the rest of it is taken as it is: there are as many rounds as
+    segments down to where the last two paths part, or one of them ends.
     """
     # The tree grows over distinct paths by shape, not over urls: thousands of numbered pages are one row.
-    shaped = urls.withColumn("segs", F.transform(F.split(F.regexp_replace("path", r"^/", ""), "/"), shape))
-    whole = F.when(F.size("segs") > depth, F.concat(F.slice("segs", 1, depth), F.array(F.lit("**")))).otherwise(F.col("segs"))
-    shaped = shaped.withColumn("segs", whole).withColumn("key", F.array_join("segs", "/"))
+    shaped = urls.withColumn("segs", F.transform(F.split(F.regexp_replace("path", r"^/", ""), "/"), shape)).withColumn("key", F.array_join("segs", "/"))
     tree = shaped.groupBy("host", "key").agg(F.first("segs").alias("segs"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict").isNotNull()).alias("labelled"), F.count_if(F.col("verdict") == "block").alias("blocked"))
-    tree = common.written(tree.withColumn("node", F.lit("")), "urls-tree")
-    for level in range(1, depth + 2):
-        tree = tree.withColumn("seg", F.get("segs", F.lit(level - 1)))
-        branch = tree.where("seg IS NOT NULL").groupBy("host", "node", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
-        node = branch.groupBy("host", "node").agg(*(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "blocked")))
-        named = branch.join(node, ["host", "node"]).select("host", "node", "seg", _name().alias("name"))
-        tree = tree.join(named, ["host", "node", "seg"], "left").withColumn("node", F.when(F.col("seg").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), "name"))).drop("seg", "name")
-        tree = common.written(tree, "urls-tree")
+    tree = tree.select("host", "key", "segs", "n", "labelled", "blocked", F.lit("").alias("node"), F.lit(0).alias("at"))
+    ended, levels = F.col("at") == F.size("segs"), []
+    while True:
+        levels.append(common.scratch(urls.sparkSession, "urls-tree"))
+        tree.write.parquet(levels[-1])
+        live = urls.sparkSession.read.schema(tree.schema).parquet(levels[-1]).where(~ended)
+        if not live.take(1):
+            break
+        live = live.withColumn("seg", F.get("segs", F.col("at")))
+        branch = live.groupBy("host", "node", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")), F.count(F.lit(1)).alias("paths"))
+        node = branch.groupBy("host", "node").agg(*(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "blocked", "paths")))
+        named = branch.join(node, ["host", "node"]).select("host", "node", "seg", F.when(F.col("all_paths") > 1, _name()).alias("name"))
+        rest = F.array_join(F.slice("segs", F.col("at") + 1, F.size("segs")), "/")
+        tree = live.join(named, ["host", "node", "seg"]).select(
+            "host", "key", "segs", "n", "labelled", "blocked", F.concat("node", F.lit("/"), F.coalesce("name", rest)).alias("node"), F.when(F.col("name").isNull(), F.size("segs")).otherwise(F.col("at") + 1).alias("at"))
+    tree = urls.sparkSession.read.schema(tree.schema).parquet(*levels).where(ended)
     return shaped.join(tree.select("host", "key", F.col("node").alias("template")), ["host", "key"]).drop("segs", "key")
 
 
@@ -80,10 +85,10 @@ def _name() -> Column:
     pooled = (b + ob + 1) / (k + ok + 2)
     gap = F.abs((b + 0.5) / (k + 1) - (ob + 0.5) / (ok + 1)) / F.sqrt(pooled * (1 - pooled) * (1 / (k + 1) + 1 / (ok + 1)))
     alike = (k >= BRANCH_URLS) & (ok >= BRANCH_URLS) & (gap < APART)
-    return F.when(F.col("seg").isin("", "**"), F.col("seg")).when(rare | alike, F.lit("*")).otherwise(F.col("seg"))
+    return F.when(F.col("seg") == "", F.col("seg")).when(rare | alike, F.lit("*")).otherwise(F.col("seg"))
 
 
-def judge(urls: DataFrame, rules=RULES, labels: Column | None = None, depth: int = DEPTH, reject: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(urls: DataFrame, rules=RULES, labels: Column | None = None, reject: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity of every row.
 
     Labels are the verdicts of the rules, or ``labels`` (a column of ``allow``, ``block`` or null) where
@@ -96,7 +101,7 @@ def judge(urls: DataFrame, rules=RULES, labels: Column | None = None, depth: int
     rows = rows.select("page_id", "label", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), F.coalesce("label", verdict).alias("verdict"))
-    placed = common.written(templates(rows, depth), "urls-placed")
+    placed = common.written(templates(rows), "urls-placed")
     count = [F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict").isNotNull()).alias("k"), F.count_if(F.col("verdict") == "block").alias("b")]
     own = placed.groupBy("host", "template").agg(*count)
     wide = own.groupBy("template").agg(F.sum("k").alias("wk"), F.sum("b").alias("wb"))

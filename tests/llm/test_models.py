@@ -133,3 +133,11 @@ def test_sections_of_a_hot_host_keep_their_labels(spark):
     rows = [(100 * s + k, f"http://hot.net/{name}/{k}", ("block" if s % 10 == 0 else "allow") if k < 6 else None) for s, name in enumerate(names) for k in range(10)]
     got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, mark string"), rules=(), labels=F.col("mark")).collect()
     assert len(got) == len(rows) and {r.verdict for r in got if r.page_id // 100 % 10 == 0} == {"block"} and {r.verdict for r in got if r.page_id // 100 % 10} == {"allow"}
+
+
+def test_labels_below_the_sixth_segment_count(spark):
+    rows = [(100 * s + k, f"http://deep.net/a/b/c/d/e/f/{name}/x/{'y/' * 20}{k}", mark if k < 12 else None) for s, (name, mark) in enumerate((("spam", "block"), ("news", "allow"))) for k in range(20)]
+    rows += [(300, "http://lone.net/" + "/".join("abcdefghij"), None), (301, "http://far.net/" + "q/" * 300, None)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, mark string"), rules=(), labels=F.col("mark")).collect()}
+    assert len(got) == len(rows) and {got[k].verdict for k in range(20)} == {"block"} and {got[100 + k].verdict for k in range(20)} == {"allow"}
+    assert got[0].template == "/a/b/c/d/e/f/spam/x/" + "y/" * 20 + "{n}" and got[300].template == "/a/b/c/d/e/f/g/h/i/j" and got[301].template == "/" + "q/" * 300

@@ -8,6 +8,7 @@ logarithm of its sample's length, wins.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from . import common
 TOTAL_CHARS, LANGUAGE_CHARS, SNIPPET = 400_000, 40_000, 500
 #: A text is parsed in strips of so many characters; a phrase never crosses the edge of a strip.
 STRIP = 256
+#: So many of the most frequent letters have a column of their own in the move table; edges by further letters are searched.
+NEAR = 250
 SCHEMA = "doc_id long, lang_pred string, score double, phrases array<long>"
 SPACE, OTHER = 0, 1
 
@@ -71,20 +74,37 @@ def automaton(word: list[int]) -> np.ndarray:
     return np.array([(s, c, t) for s, row in enumerate(moves) for c, t in row.items()], np.int32).reshape(-1, 3)
 
 
+class Moves(NamedTuple):
+    """All languages' automata: a dense table for near letters, sorted (place, symbol) keys for further ones."""
+
+    near: np.ndarray
+    symbols: int
+    keys: np.ndarray
+    to: np.ndarray
+
+    def further(self, place: np.ndarray, symbol: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Entries like those of the table, for (languages x texts) places and the further symbol each text comes to."""
+        to, again = self._find(place.astype(np.int64), symbol), self._find(starts.astype(np.int64)[:, None], symbol)
+        return np.where(to >= 0, to * 2, np.where(again >= 0, again, starts[:, None]) * 2 + 1)
+
+    def _find(self, place: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        key = place * self.symbols + symbol
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], -1)
+
+
 class Model:
-    """Languages, symbol table and automata. Travels as edge lists; tasks spread them into a dense table."""
+    """Languages, symbol table and automata. Travels as edge lists; tasks spread them into a table. Every letter of the samples is a symbol."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.langs, self.letters = sorted(samples), letters()
-        alphabet = sorted({c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha()})
-        self.alphabet = alphabet[:250] if len(alphabet) > 250 else alphabet  # symbols are bytes; further letters are the one symbol for others
-        if len(alphabet) > 250:
-            seen: dict[str, int] = {}
-            for texts in samples.values():
-                for t in texts:
-                    for c in t.lower():
+        seen: dict[str, int] = {}
+        for texts in samples.values():
+            for t in texts:
+                for c in t.lower():
+                    if c.isalpha():
                         seen[c] = seen.get(c, 0) + 1
-            self.alphabet = sorted(sorted(alphabet, key=lambda c: (-seen[c], c))[:250])
+        self.alphabet = sorted(seen, key=lambda c: (-seen[c], c))
         table = self.table()
         self.edges, self.cost = [], []
         for lang in self.langs:
@@ -100,39 +120,49 @@ class Model:
         return out
 
     def table(self) -> np.ndarray:
-        out = np.where(np.unpackbits(self.letters), OTHER, SPACE).astype(np.uint8)
+        out = np.where(np.unpackbits(self.letters), OTHER, SPACE).astype(np.uint8 if len(self.alphabet) <= NEAR else np.int32)
         for k, c in enumerate(self.alphabet):
             out[ord(c)] = k + 2
         return out
 
-    def dense(self) -> tuple[np.ndarray, np.ndarray]:
-        """One move table of all languages, and each one's start.
+    def dense(self) -> tuple[Moves, np.ndarray]:
+        """The moves of all languages, and each one's start.
 
-        An entry is the next place in the table, doubled, plus one where a phrase ends: the symbol
-        cannot be added, so it starts the next phrase. The last symbol only fills up short strips.
+        An entry of the table is the next place in it, doubled, plus one where a phrase ends: the symbol
+        cannot be added, so it starts the next phrase. The last column stays in place: it fills up
+        short strips, and further letters wait there for their edge to be found.
         """
-        width, fill = len(self.alphabet) + 3, len(self.alphabet) + 2
-        tables, starts, base = [], [], 0
+        fill, symbols = min(len(self.alphabet), NEAR) + 2, len(self.alphabet) + 3
+        width = fill + 1
+        tables, keys, to, starts, base = [], [], [], [], 0
         for edges in self.edges:
             n = int(edges[:, 2].max(initial=0)) + 1
+            near = edges[edges[:, 1] < fill]
             move = np.full((n, width), -1, np.int64)
-            move[edges[:, 0], edges[:, 1]] = edges[:, 2]
+            move[near[:, 0], near[:, 1]] = near[:, 2]
             root = np.where(move[0] < 0, 0, move[0])
             out = np.where(move < 0, (base + root * width) * 2 + 1, (base + move * width) * 2)
             out[:, fill] = (base + np.arange(n) * width) * 2
             tables.append(out.astype(np.int32).ravel())
+            far = edges[edges[:, 1] >= fill].astype(np.int64)
+            keys.append((base + far[:, 0] * width) * symbols + far[:, 1])
+            to.append(base + far[:, 2] * width)
             starts.append(base)
             base += n * width
-        return np.concatenate(tables) if tables else np.zeros(0, np.int32), np.array(starts, np.int32)
+        if not tables:
+            return Moves(np.zeros(0, np.int32), symbols, np.zeros(0, np.int64), np.zeros(0, np.int64)), np.zeros(0, np.int32)
+        key = np.concatenate(keys)
+        order = np.argsort(key)
+        return Moves(np.concatenate(tables), symbols, key[order], np.concatenate(to)[order]), np.array(starts, np.int32)
 
 
-def phrases(texts: list[str], model: Model, table: np.ndarray, moves: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def phrases(texts: list[str], model: Model, table: np.ndarray, moves: Moves, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(texts x languages) phrase counts, and symbols of each text. All strips take their steps side by side."""
     coded = [symbols(t, table) for t in texts]
     size = np.array([len(c) for c in coded], np.int64)
     strips = -(-size // STRIP)
-    total, langs, fill = int(strips.sum()), len(model.langs), len(model.alphabet) + 2
-    grid = np.full(total * STRIP, fill, np.uint8)
+    total, langs, fill, pad = int(strips.sum()), len(model.langs), min(len(model.alphabet), NEAR) + 2, len(model.alphabet) + 2
+    grid = np.full(total * STRIP, pad, table.dtype)
     at = 0
     for c, n in zip(coded, strips):
         grid[at * STRIP : at * STRIP + len(c)] = c
@@ -141,8 +171,10 @@ def phrases(texts: list[str], model: Model, table: np.ndarray, moves: np.ndarray
     state = np.repeat(starts, total).reshape(langs, total)
     count, jump = np.ones((langs, total), np.int32), np.empty((langs, total), np.int32)
     for row in steps:
-        state += row
-        np.take(moves, state, out=jump, mode="clip")
+        state += row if pad == fill else np.minimum(row, fill)
+        np.take(moves.near, state, out=jump, mode="clip")
+        if pad > fill and len(far := np.flatnonzero((row >= fill) & (row < pad))):
+            jump[:, far] = moves.further(jump[:, far] >> 1, row[far], starts)
         count += jump & 1
         np.right_shift(jump, 1, out=state)
     owner = np.repeat(np.arange(len(texts)), strips)

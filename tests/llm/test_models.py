@@ -141,3 +141,30 @@ def test_labels_below_the_sixth_segment_count(spark):
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, mark string"), rules=(), labels=F.col("mark")).collect()}
     assert len(got) == len(rows) and {got[k].verdict for k in range(20)} == {"block"} and {got[100 + k].verdict for k in range(20)} == {"allow"}
     assert got[0].template == "/a/b/c/d/e/f/spam/x/" + "y/" * 20 + "{n}" and got[300].template == "/a/b/c/d/e/f/g/h/i/j" and got[301].template == "/" + "q/" * 300
+
+
+def test_letters_beyond_the_most_frequent_tell_languages_apart():
+    rng = random.Random(4)
+    han = [chr(0x4E00 + k) for k in range(400)]
+    common_part = ["".join(rng.sample(han[:260], 260)) for _ in range(4)]
+    own = {"x": "".join(rng.sample(han[260:], 140)), "y": "".join(rng.sample(han[260:], 140))}  # the same rare letters, in another order
+    samples = {k: [*common_part, v] for k, v in own.items()}
+    model = language.Model(samples)
+    assert set(model.alphabet) == set(han)
+    table, (moves, starts) = model.table(), model.dense()
+    texts = [own["x"][10:90], own["y"][:120], "".join(rng.choices(han + ["龥", " ", "z"], k=700)), common_part[1][200:] + own["x"][:50], ""]
+    got, size = language.phrases(texts, model, table, moves, starts)
+    assert got[0, 0] == 1 < got[0, 1] and got[1, 1] == 1 < got[1, 0]
+    for t, text in enumerate(texts):
+        coded = " ".join(text.split()) + (" " if text.endswith(" ") and text.strip() else "")
+        assert size[t] == len(coded)
+        for k, lang in enumerate(model.langs):
+            sample, n = " ".join(samples[lang]) + " ", 0
+            for a in range(0, len(coded), language.STRIP):
+                now, n = "", n + 1
+                for c in coded[a : a + language.STRIP]:
+                    if now + c in sample:
+                        now += c
+                    else:
+                        now, n = c if c in sample else "", n + 1
+            assert got[t, k] == n

@@ -6,7 +6,8 @@ run starts all sets in one bucket. A bucket is split by two tokens drawn for it,
 similarity s stays together somewhere with probability 1 - (1 - s)^2 a level, and with a bound above
 zero at any depth. Splitting stops where a bucket is small, or where splitting would not lower the
 number of pairs; the pairs of the buckets that are left are compared, large buckets in blocks. Runs
-are repeated until the bound meets the target recall.
+are repeated until the bound meets the target recall; all runs draw from one sketch, so the bound is
+summed over the number of places a pair has in common, and holds what the candidate cut drops.
 
 A pair is compared in one bucket only (the least of those that both sets reached), so links are
 counted without listing pairs, and what leaves a bucket is a row per set.
@@ -30,8 +31,8 @@ TARGET = 0.9999  # of the pairs at the least similarity
 BUCKET = 128  # sets of a bucket that is compared without further splits
 BLOCK = 256  # sets of a side of one comparison task
 LEVELS = 12  # deeper buckets are compared as they are, in blocks
-#: Standard errors below the least similarity at which a sketch still counts as a candidate.
-SLACK = 4.0
+#: Part of the loss that the target allows which the candidate cut may take.
+CUT_PART = 0.1
 #: Sets that may be broadcast to the scan that fetches their texts.
 BROADCAST_ROWS = 200_000
 SKETCHES = "doc_id long, file string, row long, key string, sketch array<int>"
@@ -43,14 +44,42 @@ _B = _SEED.integers(0, 1 << 32, PLACES, np.uint64).astype(np.uint32)[:, None]
 _MULTIPLIERS = [np.uint64(x | 1) for x in (0x9DDFEA08EB382D69, 0xC949D7C7509E6557, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x87C37B91114253D5, 0x4CF5AD432745937F, 0xB492B66FBE98F273, 0x9AE16A3B2F90404F)]
 
 
-def runs_for(target: float, similar: float) -> int:
-    """Runs after which a pair of the least similarity was together in some last bucket with probability ``target``, however deep.
+def _common(m: int, similar: float) -> float:
+    """How likely a pair of similarity ``similar`` has ``m`` places of the sketch in common."""
+    return math.comb(PLACES, m) * similar**m * (1 - similar) ** (PLACES - m)
+
+
+def cut_for(target: float, similar: float) -> int:
+    """Places in common from which a pair is a candidate."""
+    cut, below = 0, _common(0, similar)
+    while below <= CUT_PART * (1 - target) and cut < PLACES:
+        cut += 1
+        below += _common(cut, similar)
+    return cut
+
 
-    A pair that is together at a bucket meets again below with probability 1 - (1 - s q)^2, where q is
-    the same for the next level: q = (2 s - 1) / s^2.
+def loss(runs: int, similar: float, cut: int) -> float:
+    """How likely a pair of similarity ``similar`` is never a candidate, however deep buckets are split.
+
+    A pair with m places in common shares the first of two different places with probability
+    s = m / PLACES and both with t = s (m - 1) / (PLACES - 1). A pair that is together at a bucket meets
+    again below with probability 2 s q - t q^2, where q is the same for the next level:
+    q = (2 s - 1) / t. Given m, and only then, runs are independent.
     """
-    q = (2 * similar - 1) / similar**2
-    return max(1, math.ceil(math.log(1 - target) / math.log(1 - q)))
+    total = 0.0
+    for m in range(PLACES + 1):
+        s = m / PLACES
+        q = max(0.0, 2 * s - 1) / (s * (m - 1) / (PLACES - 1)) if m > 1 else 0.0
+        total += _common(m, similar) * ((1 - min(1.0, q)) ** runs if m >= cut else 1.0)
+    return total
+
+
+def runs_for(target: float, similar: float) -> int:
+    """Runs after which a pair of the least similarity is a candidate with probability ``target``."""
+    cut = cut_for(target, similar)
+    if loss(1 << 20, similar, cut) > 1 - target:
+        raise ValueError(f"sketches of {PLACES} places do not reach a recall of {target} at similarity {similar}")
+    return next(r for r in range(1, 1 << 20) if loss(r, similar, cut) <= 1 - target)
 
 
 def shingles(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
@@ -157,9 +186,8 @@ def _earlier(leaf: int, offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
     return bits
 
 
-def _candidates(least: float):
-    """Per task, the sets that have a candidate pair which belongs to the task."""
-    cut = math.ceil(PLACES * least - SLACK * math.sqrt(PLACES * least * (1 - least)))
+def _candidates(cut: int):
+    """Per task, the sets that have a candidate pair (``cut`` places in common or more) which belongs to the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in common.grouped(batches, ["leaf", "i", "j"]):
@@ -280,7 +308,7 @@ def links(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILA
     tasks = reached.join(sets.select("cid", "weight", "sketch"), "cid").select("cid", "weight", "sketch", F.col("reached.leaf").alias("leaves"), F.explode("reached").alias("at"))
     tasks = _tasks(tasks.select("cid", "weight", "sketch", "leaves", "at.leaf", "at.n"), block)
     placed = lambda df: df.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j")
-    needs = common.written(placed(tasks).mapInArrow(_candidates(least), NEEDS), "jaccard-needs")
+    needs = common.written(placed(tasks).mapInArrow(_candidates(cut_for(target, least)), NEEDS), "jaccard-needs")
     wanted = needs.select("cid").distinct().join(sets.select("cid", "file", "row"), "cid")
     wanted = common.written(wanted, "jaccard-wanted")
     if wanted.count() <= broadcast_rows:

@@ -1,7 +1,9 @@
+import math
 import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 
 from tempofold.llm import jaccard
 
@@ -90,3 +92,18 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 130)] + [(200, 201), (201, 200), (300, 300)]
     got = dict(jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(61)}, **{k: 100 for k in range(100, 130)}, 200: 200, 201: 200}
+
+
+def test_recall_with_one_sketch_for_all_runs():
+    """The sum over places in common, level by level: runs share the sketch, the cut drops pairs for good."""
+    runs, cut, places = jaccard.runs_for(0.9999, 0.8), jaccard.cut_for(0.9999, 0.8), jaccard.PLACES
+    lost = 0.0
+    for m in range(places + 1):
+        s, t, q = m / places, m * (m - 1) / (places * (places - 1)), 1.0
+        for _ in range(jaccard.LEVELS + 1):
+            q = 2 * s * q - t * q * q
+        lost += math.comb(places, m) * 0.8**m * 0.2 ** (places - m) * ((1 - q) ** runs if m >= cut else 1)
+    assert lost <= 1e-4 and lost <= jaccard.loss(runs, 0.8, cut) <= 1e-4
+    assert jaccard.loss(4, 0.8, 39) > 2.5e-4  # what four runs and a cut at 39 of 64 places lose
+    with pytest.raises(ValueError):
+        jaccard.runs_for(0.9999, 0.5)

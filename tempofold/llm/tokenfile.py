@@ -15,6 +15,8 @@ their bounds to row groups and pages.
 from __future__ import annotations
 
 import functools
+import itertools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,11 +29,10 @@ from pyspark.sql import functions as F
 from . import common
 
 END_ID = 2
-#: Ids of one shard; a smaller corpus is still cut so that every core has one, down to MIN_SHARD ids.
-SHARD_TOKENS, MIN_SHARD = 32_000_000, 1_000_000
+#: Bytes of input files per shard; a smaller corpus is still cut so that every core has one, down to MIN_SHARD bytes.
+SHARD_BYTES, MIN_SHARD = 32 << 20, 2 << 20
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 1_000
 ENCODINGS = ("dictionary", "delta")
-ENCODED = "place long, row long, doc_id long, n_tokens long, ids array<int>"
 ROWS = "shard int, at long, doc_id long, n_tokens long, ids array<int>"
 INDEX = "shard int, rows long, tokens long, start long"
 CHECKED = "doc_id long, shard int, at long, n_tokens long, ids_crc32 long"
@@ -45,72 +46,108 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Pieces whose normal form is their lower case, and their words: the pattern of the vocabulary, kept to
+#: ASCII and the letters from U+00C0 to U+00FF. Every other piece is left to the library as it stands.
+PLAIN = re.compile(rb"(?:[\x00-\x7f]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*")
+UNITS = re.compile(rb"'(?:[stmd]|re|ve|ll)|(?:[a-z]|\xc3[\x80-\xbf])+|[0-9]|\n|[^\sa-z0-9\x80-\xff]+")
+
+
+#: A line feed as the vocabulary spells it; here it only parts pieces.
+BREAK = chr(256 + 10)
+
+
+def spelling() -> dict[int, int]:
+    """Bytes as characters of a byte-level vocabulary: printable ones stand for themselves, the others follow from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + k for k, b in enumerate(hidden)}
+
+
 class Encoder:
     """UTF-8 text -> ids, as the library gives them for the whole text without special tokens.
 
     The tokenizer drops white space and no token, added token, composition or lower-casing reaches over
-    an ASCII white space character, so the ids of a text are those of its pieces between them. The
-    library encodes every distinct piece once; a piece met again is looked up. Only vocabularies that
-    drop white space may be used (checked when one is loaded).
+    an ASCII white space character, so the ids of a text are those of its pieces between them. Every
+    distinct piece is encoded once: a plain one word by word by the library's model, any other by the
+    library as a whole. Only vocabularies that drop white space may be used (checked when one is loaded).
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        if self._encode("a b") != [*self._encode("a"), *self._encode("b")] or self._encode(" \t\n\v\f\r"):
+        if self._whole(b"a b") != [*self._whole(b"a"), *self._whole(b"b")] or self._whole(b" \t\n\v\f\r"):
             raise ValueError(f"{path}: white space is part of tokens")
+        self.spelling, self.model = spelling(), self.library.model
         self._forget()
 
-    def _encode(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
+    def _whole(self, piece: bytes) -> list[int]:
+        return self.library.encode(piece.decode(), add_special_tokens=False).ids
 
     def _forget(self) -> None:
-        self.places: dict[bytes, int] = {}
-        self.flat, self.size, self.first, self.held = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.units, self.pieces = Lists(), Lists()
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        body = b"\n".join(fresh)
+        if b"<|" in body or not PLAIN.fullmatch(body):
+            odd = {p for p in fresh if b"<|" in p or not PLAIN.fullmatch(p)}
+            self.pieces.add(list(odd), [self._whole(p) for p in odd])
+            fresh = [p for p in fresh if p not in odd]
+            body = b"\n".join(fresh)
+        if not fresh:
+            return
+        units = UNITS.findall(body.lower() if body.isascii() else body.decode().lower().encode())
+        new = [u for u in set(units) if u not in self.units.places]
+        spelt = (u.decode("latin1") if u.isalpha() else u.decode("latin1").translate(self.spelling) for u in new)
+        self.units.add(new, [[t.id for t in self.model.tokenize(u)] if u != BREAK else [] for u in spelt])
+        at = self.units.find(units)
+        ids, size = self.units.gather(at)
+        edges = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.flatnonzero(at == self.units.places.get(b"\n", -1)), [len(at)]))]
+        self.pieces.extend(fresh, ids, np.diff(edges))
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids per text)."""
-        pieces = [t.split() for t in texts]
-        if self.held > REMEMBERED:
+        split = [t.split() for t in texts]
+        if self.pieces.held + self.units.held > REMEMBERED:
             self._forget()
-        fresh = list({p for ps in pieces for p in ps if p not in self.places})
+        fresh = set(itertools.chain.from_iterable(split)).difference(self.pieces.places)
         if fresh:
-            import os
-
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-            new = [e.ids for e in self.library.encode_batch_fast([p.decode() for p in fresh], add_special_tokens=False)]
-            self.places.update(zip(fresh, range(len(self.size), len(self.size) + len(fresh))))
-            size = np.fromiter(map(len, new), np.int64, len(new))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in new for i in ids), np.int32, int(size.sum()))])
-            self.size = np.concatenate([self.size, size])
-            self.first = np.cumsum(self.size) - self.size
-            self.held += sum(map(len, fresh)) + 4 * int(size.sum()) + 100 * len(fresh)
-        at = np.fromiter((self.places[p] for ps in pieces for p in ps), np.int64, sum(map(len, pieces)))
-        size = self.size[at]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.first[at] - (ends - size), size) + np.arange(total)]
-        edges = np.concatenate(([0], ends))[np.cumsum([0, *map(len, pieces)])]
+            self._learn(list(fresh))
+        ids, size = self.pieces.gather(self.pieces.find(list(itertools.chain.from_iterable(split))))
+        edges = np.concatenate(([0], np.cumsum(size)))[np.cumsum([0, *map(len, split)])]
         return ids, np.diff(edges)
 
 
-def encode(docs: DataFrame, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """place, row, doc_id, n_tokens, ids: every row's ids and the end id, with the row's place in its input."""
-    rows = common.located(docs, id_col, text_col).select(F.xxhash64("file").alias("place"), "row", "doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(functools.partial(_encoded, end_id=end_id, path=path or vocabulary()), ENCODED)
+class Lists:
+    """Byte strings and a list of ids for each, in flat arrays."""
 
+    def __init__(self):
+        self.places: dict[bytes, int] = {}
+        self.flat, self.size, self.held = np.zeros(0, np.int32), np.zeros(0, np.int64), 0
 
-def _encoded(batches: Iterator[pa.RecordBatch], end_id: int, path: str) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(path)
-    for batch in common.blocks_of_bytes(batches, "text", 4_000_000):
-        ids, size = encoder(batch.column("text").to_pylist())
-        ids, ends = np.insert(ids, np.cumsum(size), end_id), np.cumsum(size + 1)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids, pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("row"), batch.column("doc_id"), pa.array(size + 1), lists], ["place", "row", "doc_id", "n_tokens", "ids"])
+    def add(self, keys: list[bytes], lists: list[list[int]]) -> None:
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.extend(keys, np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(size.sum())), size)
+
+    def extend(self, keys: list[bytes], flat: np.ndarray, size: np.ndarray) -> None:
+        self.places.update(zip(keys, range(len(self.size), len(self.size) + len(keys))))
+        self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+        self.first = np.cumsum(self.size) - self.size
+        self.held += sum(map(len, keys)) + 4 * len(flat) + 150 * len(keys)
+
+    def find(self, keys: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.places.__getitem__, keys), np.int64, len(keys))
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the lists at these places, one after the other, and their lengths)."""
+        if not len(at):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        size = self.size[at]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.first[at] - (ends - size), size) + np.arange(ends[-1])], size
 
 
-def write(docs: DataFrame, path: str, encoding: str = "dictionary", shard_tokens: int = SHARD_TOKENS, row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES,
+def write(docs: DataFrame, path: str, encoding: str = "dictionary", shard_bytes: int = SHARD_BYTES, row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES,
           page_rows: int = PAGE_ROWS, end_id: int = END_ID, vocabulary_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Write the token file of ``docs`` to a new folder that all executors share; returns its path.
 
@@ -122,12 +159,15 @@ def write(docs: DataFrame, path: str, encoding: str = "dictionary", shard_tokens
     if encoding not in ENCODINGS:
         raise ValueError(f"encoding must be one of {ENCODINGS}")
     spark = docs.sparkSession
-    # Encoded once: the range sort below samples its input, and a lost executor must not encode again.
-    encoded = common.written(encode(docs, end_id, id_col, text_col, vocabulary_path), "token-ids")
-    total = encoded.agg(F.sum("n_tokens")).first()[0] or 0
-    shards = max(-(-total // shard_tokens), min(spark.sparkContext.defaultParallelism, total // MIN_SHARD), 1)
+    docs = common.backed(docs)
+    # Texts go to their range once and are encoded there, so ids are written once and never shuffled.
+    rows = common.located(docs, id_col, text_col).select("doc_id", F.xxhash64("file").alias("place"), "row", F.col("text").cast("binary").alias("text"))
+    held = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).distinct().agg(F.sum("size")).first()[0] or 0
+    ranges = max(-(-held // shard_bytes), min(spark.sparkContext.defaultParallelism, held // MIN_SHARD), 1)
     order = [F.col("doc_id").asc_nulls_first(), F.col("place"), F.col("row")]
-    rows = encoded.repartitionByRange(int(shards), *order).sortWithinPartitions(*order).mapInArrow(_numbered, ROWS)
+    # The tie columns decide the order only and stay on this side.
+    sent = rows.repartitionByRange(int(ranges), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    ids = sent.mapInArrow(functools.partial(_encoded, end_id=end_id, path=vocabulary_path or vocabulary()), ROWS)
     options = {
         "compression": "zstd",
         "parquet.writer.version": "PARQUET_2_0",
@@ -139,22 +179,23 @@ def write(docs: DataFrame, path: str, encoding: str = "dictionary", shard_tokens
         **{f"parquet.enable.dictionary#{c}": "false" for c in ("at", "doc_id", "n_tokens")},
         "parquet.enable.dictionary#ids.list.element": "true" if encoding == "dictionary" else "false",
     }
-    rows.write.options(**options).parquet(f"{path}/shards")
+    ids.write.options(**options).parquet(f"{path}/shards")
     # One row per shard: the window is over shards, not documents.
     tally = metadata(spark, path).groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_tokens").alias("tokens"))
     tally.select("shard", "rows", "tokens", F.expr("sum(tokens) over (order by shard) - tokens").alias("start")).coalesce(1).write.parquet(f"{path}/index")
     return path
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shard, before = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        if batch.num_rows:
-            size = np.asarray(batch.column("n_tokens"))
-            ends = before + np.cumsum(size)
-            before = int(ends[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(size), shard, np.int32)), pa.array(ends - size), batch.column("doc_id"), batch.column("n_tokens"), batch.column("ids")],
-                                             ["shard", "at", "doc_id", "n_tokens", "ids"])
+def _encoded(batches: Iterator[pa.RecordBatch], end_id: int, path: str) -> Iterator[pa.RecordBatch]:
+    shard, before, encoder = TaskContext.get().partitionId(), 0, None
+    for batch in common.blocks_of_bytes(batches, "text", 4_000_000):
+        encoder = encoder or Encoder(path)
+        ids, size = encoder(batch.column("text").to_pylist())
+        ids, ends = np.insert(ids, np.cumsum(size), end_id), np.cumsum(size + 1)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids, pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(size), shard, np.int32)), pa.array(before + ends - size - 1), batch.column("doc_id"), pa.array(size + 1), lists],
+                                         ["shard", "at", "doc_id", "n_tokens", "ids"])
+        before += int(ends[-1])
 
 
 def shards(spark: SparkSession, path: str) -> DataFrame:

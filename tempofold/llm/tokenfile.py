@@ -36,8 +36,8 @@ ENCODINGS = ("dictionary", "delta")
 ROWS = "shard int, at long, doc_id long, n_tokens long, ids array<int>"
 INDEX = "shard int, rows long, tokens long, start long"
 CHECKED = "doc_id long, shard int, at long, n_tokens long, ids_crc32 long"
-#: Bytes of pieces that an encoder remembers before it starts anew.
-REMEMBERED = 32 << 20
+#: Bytes of words, and of pieces of text, that an encoder remembers before it starts anew.
+REMEMBERED = 64 << 20
 
 
 def vocabulary() -> str:
@@ -46,9 +46,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Pieces whose normal form is their lower case, and their words: the pattern of the vocabulary, kept to
-#: ASCII and the letters from U+00C0 to U+00FF. Every other piece is left to the library as it stands.
-PLAIN = re.compile(rb"(?:[\x00-\x7f]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*")
+#: The words of plain pieces: the pattern of the vocabulary, kept to ASCII and the letters from U+00C0 to
+#: U+00FF, whose normal form is their lower case. A piece with any other character, or with the start of
+#: an added token, is left to the library as it stands.
+OTHER = re.compile(rb"[\xc2\xc4-\xff]|\xc3[\x97\xb7]|<\|")
 UNITS = re.compile(rb"'(?:[stmd]|re|ve|ll)|(?:[a-z]|\xc3[\x80-\xbf])+|[0-9]|\n|[^\sa-z0-9\x80-\xff]+")
 
 
@@ -79,18 +80,15 @@ class Encoder:
         if self._whole(b"a b") != [*self._whole(b"a"), *self._whole(b"b")] or self._whole(b" \t\n\v\f\r"):
             raise ValueError(f"{path}: white space is part of tokens")
         self.spelling, self.model = spelling(), self.library.model
-        self._forget()
+        self.units, self.pieces = Lists(), Lists()
 
     def _whole(self, piece: bytes) -> list[int]:
         return self.library.encode(piece.decode(), add_special_tokens=False).ids
 
-    def _forget(self) -> None:
-        self.units, self.pieces = Lists(), Lists()
-
     def _learn(self, fresh: list[bytes]) -> None:
         body = b"\n".join(fresh)
-        if b"<|" in body or not PLAIN.fullmatch(body):
-            odd = {p for p in fresh if b"<|" in p or not PLAIN.fullmatch(p)}
+        if OTHER.search(body):
+            odd = {p for p in fresh if OTHER.search(p)}
             self.pieces.add(list(odd), [self._whole(p) for p in odd])
             fresh = [p for p in fresh if p not in odd]
             body = b"\n".join(fresh)
@@ -107,9 +105,10 @@ class Encoder:
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids per text)."""
-        split = [t.split() for t in texts]
-        if self.pieces.held + self.units.held > REMEMBERED:
-            self._forget()
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]  # lower-cases A-Z, as the tokenizer does
+        # What one call brings is kept, so the bound is met between calls.
+        self.units = Lists() if self.units.held > REMEMBERED else self.units
+        self.pieces = Lists() if self.pieces.held > REMEMBERED else self.pieces
         fresh = set(itertools.chain.from_iterable(split)).difference(self.pieces.places)
         if fresh:
             self._learn(list(fresh))

@@ -36,8 +36,8 @@ ENCODINGS = ("dictionary", "delta")
 ROWS = "shard int, at long, doc_id long, n_tokens long, ids array<int>"
 INDEX = "shard int, rows long, tokens long, start long"
 CHECKED = "doc_id long, shard int, at long, n_tokens long, ids_crc32 long"
-#: Bytes of words, and of pieces of text, that an encoder remembers before it starts anew.
-REMEMBERED = 64 << 20
+#: Bytes of words, and of pieces of text, that an encoder remembers before it starts anew; bytes of text it takes at a time.
+WORDS_HELD, PIECES_HELD, BLOCK_BYTES = 48 << 20, 48 << 20, 1_000_000
 
 
 def vocabulary() -> str:
@@ -107,8 +107,8 @@ class Encoder:
         """(ids of all texts, ids per text)."""
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]  # lower-cases A-Z, as the tokenizer does
         # What one call brings is kept, so the bound is met between calls.
-        self.units = Lists() if self.units.held > REMEMBERED else self.units
-        self.pieces = Lists() if self.pieces.held > REMEMBERED else self.pieces
+        self.units = Lists() if self.units.held > WORDS_HELD else self.units
+        self.pieces = Lists() if self.pieces.held > PIECES_HELD else self.pieces
         fresh = set(itertools.chain.from_iterable(split)).difference(self.pieces.places)
         if fresh:
             self._learn(list(fresh))
@@ -187,7 +187,7 @@ def write(docs: DataFrame, path: str, encoding: str = "dictionary", shard_bytes:
 
 def _encoded(batches: Iterator[pa.RecordBatch], end_id: int, path: str) -> Iterator[pa.RecordBatch]:
     shard, before, encoder = TaskContext.get().partitionId(), 0, None
-    for batch in common.blocks_of_bytes(batches, "text", 4_000_000):
+    for batch in common.blocks_of_bytes(batches, "text", BLOCK_BYTES):
         encoder = encoder or Encoder(path)
         ids, size = encoder(batch.column("text").to_pylist())
         ids, ends = np.insert(ids, np.cumsum(size), end_id), np.cumsum(size + 1)

@@ -39,7 +39,8 @@ def test_pieces_give_the_ids_of_the_whole_text(ts):
 
 
 def test_special_strings_and_a_small_memory(library, monkeypatch):
-    monkeypatch.setattr(tokenfile, "REMEMBERED", 500)
+    for held in ("WORDS_HELD", "PIECES_HELD"):
+        monkeypatch.setattr(tokenfile, held, 500)
     enc = tokenfile.Encoder(tokenfile.vocabulary())
     for t in ("a <|endoftext|> b", "x<|startoftext|>y", "", " \n", "İstanbul ẞ É é don't", "\x00 \x1c x", "word " * 3000, "x" * 9000):
         ids, size = enc([t.encode(), b"b"])

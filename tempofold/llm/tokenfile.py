@@ -36,8 +36,8 @@ ENCODINGS = ("dictionary", "delta")
 ROWS = "shard int, at long, doc_id long, n_tokens long, ids array<int>"
 INDEX = "shard int, rows long, tokens long, start long"
 CHECKED = "doc_id long, shard int, at long, n_tokens long, ids_crc32 long"
-#: Bytes of words, and of pieces of text, that an encoder remembers before it starts anew; bytes of text it takes at a time.
-WORDS_HELD, PIECES_HELD, BLOCK_BYTES = 48 << 20, 48 << 20, 1_000_000
+#: Words that an encoder remembers before it starts anew; bytes of text it takes at a time.
+WORDS_HELD, BLOCK_BYTES = 1_000_000, 1_000_000
 
 
 def vocabulary() -> str:
@@ -46,15 +46,16 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: The words of plain pieces: the pattern of the vocabulary, kept to ASCII and the letters from U+00C0 to
-#: U+00FF, whose normal form is their lower case. A piece with any other character, or with the start of
-#: an added token, is left to the library as it stands.
-OTHER = re.compile(rb"[\xc2\xc4-\xff]|\xc3[\x97\xb7]|<\|")
-UNITS = re.compile(rb"'(?:[stmd]|re|ve|ll)|(?:[a-z]|\xc3[\x80-\xbf])+|[0-9]|\n|[^\sa-z0-9\x80-\xff]+")
-
-
-#: A line feed as the vocabulary spells it; here it only parts pieces.
-BREAK = chr(256 + 10)
+#: A stretch between white space that the library encodes as it stands: it has a character other than ASCII and
+#: the letters from U+00C0 to U+00FF (whose normal form is their lower case), or may hold an added token.
+ODD = re.compile(rb"[\xc2\xc4-\xff]|\xc3[\x97\xb7]|<\|")
+RARE, ODD_BYTES = (b"<|", b"\xc3\x97", b"\xc3\xb7"), np.isin(np.arange(256), [0xC2, *range(0xC4, 0x100)])
+BREAK = re.compile(rb"[\t-\r ]")
+SPACE, LETTER, DIGIT, MARK = range(4)
+#: What each byte belongs to; bytes from 0x80 on are left to letters once odd stretches are set aside.
+CLASSES = np.array([SPACE if b in b" \t\n\v\f\r" else LETTER if 97 <= b <= 122 or b >= 128 else DIGIT if 48 <= b <= 57 else MARK for b in range(256)], np.uint8)
+#: After an apostrophe that no other mark precedes, these letters are one word with it.
+SHORT = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")
 
 
 def spelling() -> dict[int, int]:
@@ -68,9 +69,10 @@ class Encoder:
     """UTF-8 text -> ids, as the library gives them for the whole text without special tokens.
 
     The tokenizer drops white space and no token, added token, composition or lower-casing reaches over
-    an ASCII white space character, so the ids of a text are those of its pieces between them. Every
-    distinct piece is encoded once: a plain one word by word by the library's model, any other by the
-    library as a whole. Only vocabularies that drop white space may be used (checked when one is loaded).
+    an ASCII white space character. Between those, plain text falls into words of letters, single digits
+    and runs of marks, each a word of the library's model. Words are found and told apart (by 64-bit
+    hashes) as arrays, and the library encodes each distinct one once; odd stretches it encodes whole.
+    Only vocabularies that drop white space may be used (checked when one is loaded).
     """
 
     def __init__(self, path: str):
@@ -80,70 +82,78 @@ class Encoder:
         if self._whole(b"a b") != [*self._whole(b"a"), *self._whole(b"b")] or self._whole(b" \t\n\v\f\r"):
             raise ValueError(f"{path}: white space is part of tokens")
         self.spelling, self.model = spelling(), self.library.model
-        self.units, self.pieces = Lists(), Lists()
+        self._forget()
 
     def _whole(self, piece: bytes) -> list[int]:
         return self.library.encode(piece.decode(), add_special_tokens=False).ids
 
-    def _learn(self, fresh: list[bytes]) -> None:
-        body = b"\n".join(fresh)
-        if OTHER.search(body):
-            odd = {p for p in fresh if OTHER.search(p)}
-            self.pieces.add(list(odd), [self._whole(p) for p in odd])
-            fresh = [p for p in fresh if p not in odd]
-            body = b"\n".join(fresh)
-        if not fresh:
-            return
-        units = UNITS.findall(body.lower() if body.isascii() else body.decode().lower().encode())
-        new = [u for u in set(units) if u not in self.units.places]
-        spelt = (u.decode("latin1") if u.isalpha() else u.decode("latin1").translate(self.spelling) for u in new)
-        self.units.add(new, [[t.id for t in self.model.tokenize(u)] if u != BREAK else [] for u in spelt])
-        at = self.units.find(units)
-        ids, size = self.units.gather(at)
-        edges = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.flatnonzero(at == self.units.places.get(b"\n", -1)), [len(at)]))]
-        self.pieces.extend(fresh, ids, np.diff(edges))
+    def _forget(self) -> None:
+        # Hashes ascend; word k has size[k] ids from first[k] on.
+        self.hashes, self.first, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _word(self, word: bytes) -> list[int]:
+        if ODD.search(word):
+            return self._whole(word)
+        spelt = word.decode("latin1") if word.isalpha() else word.decode().lower().encode().decode("latin1").translate(self.spelling)
+        return [t.id for t in self.model.tokenize(spelt)]
+
+    def _encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, ids per word, first byte of each word)."""
+        data = np.frombuffer(bytearray(text.lower()), np.uint8)
+        kind = CLASSES[data]
+        if any(x in text for x in RARE) or ODD_BYTES[data].any():
+            odd = np.fromiter((m.start() for m in ODD.finditer(text)), np.int64)
+            gaps = np.concatenate(([-1], np.flatnonzero(kind == SPACE), [len(kind)]))
+            for k in np.unique(np.searchsorted(gaps, odd)).tolist():
+                a, b = gaps[k - 1] + 1, gaps[k]
+                data[a:b], kind[a:b] = np.frombuffer(text[a:b], np.uint8), LETTER
+        edge = np.concatenate(([True], kind[1:] != kind[:-1])) | (kind == DIGIT)
+        quotes = np.flatnonzero((data[:-1] == 39) & edge[:-1] & (kind[:-1] == MARK) & (kind[1:] == LETTER))
+        for p in quotes.tolist():
+            tail = bytes(data[p + 1 : p + 3])
+            n = next((len(x) for x in SHORT if tail.startswith(x)), 0)
+            if n:
+                edge[p + 1] = False
+                edge[p + 1 + n : p + 2 + n] |= kind[p + 1 + n : p + 2 + n] == LETTER
+        cuts = np.append(np.flatnonzero(edge), len(kind))
+        word = kind[cuts[:-1]] != SPACE
+        start, end = cuts[:-1][word], cuts[1:][word]
+        if not len(start):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64), start
+        hashes, one, each = np.unique(common.ByteHash(data).of(start, end), return_index=True, return_inverse=True)
+        known = np.isin(hashes, self.hashes, assume_unique=True)
+        if not known.all():
+            self._learn(hashes[~known], [bytes(data[start[k] : end[k]]) for k in one[~known]])
+        at = np.searchsorted(self.hashes, hashes)[each]
+        size = self.size[at]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.first[at] - (ends - size), size) + np.arange(ends[-1])], size, start
 
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, ids per text)."""
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]  # lower-cases A-Z, as the tokenizer does
-        # What one call brings is kept, so the bound is met between calls.
-        self.units = Lists() if self.units.held > WORDS_HELD else self.units
-        self.pieces = Lists() if self.pieces.held > PIECES_HELD else self.pieces
-        fresh = set(itertools.chain.from_iterable(split)).difference(self.pieces.places)
-        if fresh:
-            self._learn(list(fresh))
-        ids, size = self.pieces.gather(self.pieces.find(list(itertools.chain.from_iterable(split))))
-        edges = np.concatenate(([0], np.cumsum(size)))[np.cumsum([0, *map(len, split)])]
-        return ids, np.diff(edges)
-
-
-class Lists:
-    """Byte strings and a list of ids for each, in flat arrays."""
-
-    def __init__(self):
-        self.places: dict[bytes, int] = {}
-        self.flat, self.size, self.held = np.zeros(0, np.int32), np.zeros(0, np.int64), 0
-
-    def add(self, keys: list[bytes], lists: list[list[int]]) -> None:
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        lists = [self._word(w) for w in words]
         size = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.extend(keys, np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(size.sum())), size)
+        first = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(size.sum()))])
+        hashes, first, size = (np.concatenate(x) for x in ((self.hashes, hashes), (self.first, first), (self.size, size)))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.first, self.size = hashes[order], first[order], size[order]
 
-    def extend(self, keys: list[bytes], flat: np.ndarray, size: np.ndarray) -> None:
-        self.places.update(zip(keys, range(len(self.size), len(self.size) + len(keys))))
-        self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
-        self.first = np.cumsum(self.size) - self.size
-        self.held += sum(map(len, keys)) + 4 * len(flat) + 150 * len(keys)
-
-    def find(self, keys: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.places.__getitem__, keys), np.int64, len(keys))
-
-    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of the lists at these places, one after the other, and their lengths)."""
-        if not len(at):
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        size = self.size[at]
-        ends = np.cumsum(size)
-        return self.flat[np.repeat(self.first[at] - (ends - size), size) + np.arange(ends[-1])], size
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids per text)."""
+        body, at, parts = b"\n".join(texts), 0, []
+        while at < len(body):
+            # Long texts are taken in stretches that end at white space.
+            gap = BREAK.search(body, at + BLOCK_BYTES)
+            end = gap.start() if gap else len(body)
+            ids, size, start = self._encode(body[at:end])
+            parts.append((ids, size, start + at))
+            at = end
+            if len(self.hashes) > WORDS_HELD:
+                self._forget()
+        ids, size, start = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        # Words before each text, then ids before it.
+        edges = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        return ids, np.diff(np.concatenate(([0], np.cumsum(size)))[edges])
 
 
 def write(docs: DataFrame, path: str, encoding: str = "dictionary", shard_bytes: int = SHARD_BYTES, row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES,

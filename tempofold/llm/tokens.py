@@ -27,15 +27,24 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def added(path: str) -> dict[str, int]:
+    """Strings that the vocabulary takes as one token wherever they stand in a text, and their ids."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 def encoder(paths: tuple[str, str]) -> Callable[[str], np.ndarray]:
-    """text -> ids (unsigned 32-bit). Strings of special tokens are ordinary text.
+    """text -> ids (unsigned 32-bit), as the JSON form's library gives them without adding special tokens.
 
-    The ranks file holds the vocabulary of the JSON file, and its encoder gives the same ids several
-    times faster (a test compares the two); where it gives up, on huge runs without a break, the
-    JSON form's own library encodes. Built anew in each task (a tenth of a second): a cache would have
-    to travel with the function.
+    Strings of added tokens part a text and are one id each. What lies between goes to the ranks file,
+    which holds the same vocabulary; its encoder gives the same ids several times faster (tests compare
+    with the library as it comes). Where it gives up, on huge runs without a break, the library encodes.
+    Built anew in each task (a tenth of a second): a cache would have to travel with the function.
     """
     import base64
+    import re
 
     import public_tokenizers
     import tiktoken
@@ -43,11 +52,13 @@ def encoder(paths: tuple[str, str]) -> Callable[[str], np.ndarray]:
     with open(paths[1], "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     quick = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    whole = added(paths[0])
+    parts = re.compile("(" + "|".join(map(re.escape, sorted(whole, key=len, reverse=True))) + ")") if whole else None
     slow: list = []
 
-    def encode(text: str) -> np.ndarray:
+    def plain(text: str) -> list[int]:
         try:
-            return np.array(quick._core_bpe.encode_ordinary(text), np.uint32)
+            return quick._core_bpe.encode_ordinary(text)
         except BaseException as e:  # the encoder's own panics are no Exceptions
             if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
@@ -55,18 +66,23 @@ def encoder(paths: tuple[str, str]) -> Callable[[str], np.ndarray]:
                 from tokenizers import Tokenizer
 
                 slow.append(Tokenizer.from_file(paths[0]))
-                slow[0].encode_special_tokens = True
-            return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
+            return slow[0].encode(text, add_special_tokens=False).ids
+
+    def encode(text: str) -> np.ndarray:
+        if parts is None or not any(x in text for x in whole):
+            return np.array(plain(text), np.uint32)
+        return np.array([i for k, x in enumerate(parts.split(text)) for i in ([whole[x]] if k % 2 else plain(x))], np.uint32)
 
     return encode
 
 
-def token_bytes(path: str) -> np.ndarray:
+def token_bytes(paths: tuple[str, str]) -> np.ndarray:
     """Byte length of each id."""
     import base64
 
-    with open(path, "rb") as f:
+    with open(paths[1], "rb") as f:
         pairs = [(int(b), len(base64.b64decode(a))) for a, b in map(bytes.split, f)]
+    pairs += [(i, len(x.encode())) for x, i in added(paths[0]).items()]
     out = np.zeros(max(i for i, _ in pairs) + 1, np.int64)
     out[[i for i, _ in pairs]] = [n for _, n in pairs]
     return out
@@ -119,7 +135,7 @@ def count(docs: DataFrame, fields: Column | str = "text", id_col: str = "doc_id"
 
 
 def _count(batches: Iterator[pa.RecordBatch], many: bool, rule: str, paths: tuple[str, str]) -> Iterator[pa.RecordBatch]:
-    encode, length = encoder(paths), token_bytes(paths[1])
+    encode, length = encoder(paths), token_bytes(paths)
     for batch in batches:
         out = []
         for doc, body in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist()):

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import events as ev, ordered
+from ..operators import events as ev, limits, ordered
+from ..session import scratch
+from ..streaming import limits as stream_rules
 from .base import EV, LOG, event_log, events, query
 
 CUT = "2024-01-16"
@@ -250,24 +252,44 @@ def sliding_limit(spark, d):
     return w.select("event_id", "n_hour", "n_day", wait.alias("wait_s"), breached.alias("breached"))
 
 
-REPLAY = """RECURSIVE {ev}, a AS (SELECT event_id, {key} AS ip, t, row_number() OVER (PARTITION BY {key} ORDER BY t, event_id) AS i FROM ev{where}),
-  f AS (SELECT ip, i, event_id, true AS accepted, [t] AS kept FROM a WHERE i = 1
-    UNION ALL SELECT a.ip, a.i, a.event_id, {ok}, CASE WHEN {ok} THEN list_append(f.kept, a.t) ELSE f.kept END
-    FROM f JOIN a ON a.ip = f.ip AND a.i = f.i + 1)
-  SELECT event_id, ip, accepted FROM f"""
+LIMITS = """a AS (SELECT event_id, user_id % 10 AS ip, epoch_us(ts) AS us FROM events),
+  whole AS MATERIALIZED (SELECT list({'event_id': event_id, 'ip': ip, 'us': us} ORDER BY us, event_id) AS every FROM a),
+  f AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::VARCHAR AS code, NULL::BIGINT AS wait_s, []::STRUCT(us BIGINT, ip BIGINT)[] AS kept
+    UNION ALL SELECT i, x.event_id, code, CASE WHEN code IS NOT NULL THEN greatest(60, (free - x.us) // 1000000) END,
+      CASE WHEN code IS NULL THEN list_append(live, {'us': x.us, 'ip': x.ip}) ELSE live END
+    FROM (SELECT *, CASE WHEN len(live) >= 200 THEN 'daily_limit_reached' WHEN len(own) >= 20 OR len(recent) >= 5 THEN 'too_many_lessons' END AS code,
+        CASE WHEN len(live) >= 200 THEN live[1].us + 86400000000 WHEN len(own) >= 20 THEN least(own[1].us + 86400000000, midnight) ELSE least(recent[1].us + 3600000000, midnight) END AS free
+      FROM (SELECT *, list_filter(own, lambda z: z.us > x.us - 3600000000) AS recent
+        FROM (SELECT *, list_filter(live, lambda z: z.ip = x.ip AND z.us >= midnight - 86400000000) AS own
+          FROM (SELECT i, x, (x.us // 86400000000 + 1) * 86400000000 AS midnight, list_filter(kept, lambda z: z.us > x.us - 86400000000) AS live
+            FROM (SELECT f.i + 1 AS i, f.kept, whole.every[f.i + 1] AS x FROM f, whole WHERE f.i < len(whole.every)))))))"""
 
 
-@query("limit_replay", "WITH " + REPLAY.format(ev=EV, key="user_id % 10", where="", ok="(len(list_filter(f.kept, lambda z: z > a.t - 3600)) < 5 AND len(list_filter(f.kept, lambda z: z > a.t - 86400)) < 20)"))
+@query("limit_replay", f"WITH RECURSIVE {LIMITS} SELECT event_id, code IS NULL AS accepted, code, wait_s FROM f WHERE i > 0")
 def limit_replay(spark, d):
+    """Every event as an attempt from one of ten addresses, under the limits of everybody, an address's day and its hour."""
     a = events(spark, d).select("event_id", (F.col("user_id") % 10).alias("ip"), "t")
-    return ev.replay_limits(a, "ip", "t", "event_id", [(3600.0, ev.IP_HOUR), (86400.0, ev.IP_DAY)]).select(
-        "event_id", "ip", "accepted")
+    return limits.replay(a, "ip", "t", ["event_id"]).select("event_id", "accepted", "code", "wait_s")
 
 
-@query("removal_limit", "WITH " + REPLAY.format(ev=EV, key="user_id % 40", where=" WHERE event_type = 'error'", ok="(len(list_filter(f.kept, lambda z: z > a.t - 86400)) < 5)"))
+@query("stream_limits", f"""WITH RECURSIVE {LIMITS} SELECT event_id, code, wait_s FROM f WHERE i > 0""")
+def stream_limits(spark, d):
+    """The same attempts as a stream of several batches in time order: what a batch accepts counts in the next ones."""
+    a = events(spark, d).select("event_id", (F.col("user_id") % 10).alias("ip"), "t")
+    source, out, state = scratch(spark, "attempts"), scratch(spark, "limit-decisions"), scratch(spark, "limit-state")
+    for week in range(5):  # each week arrives, and the stream catches up
+        a.where(F.floor((F.dayofmonth(F.timestamp_seconds("t")) - 1) / 7) == week).write.mode("append").parquet(source)
+        attempts = spark.readStream.schema(a.schema).parquet(source)
+        stream_rules.decide_limits(attempts, out, state, "ip", "t", ["event_id"], trigger={"availableNow": True}).awaitTermination()
+    return stream_rules.limit_decisions(spark, a.schema, out).select("event_id", "code", "wait_s")
+
+
+@query("removal_limit", f"""WITH {EV}, a AS (SELECT event_id, user_id % 40 AS ip, t, row_number() OVER (PARTITION BY user_id % 40, CAST(ts AS DATE) ORDER BY t, event_id) AS n FROM ev)
+  SELECT event_id, ip, n <= 5 AS accepted, CASE WHEN n > 5 THEN 'too_many_removals' END AS code,
+    CASE WHEN n > 5 THEN greatest(60, CAST(floor((floor(t / 86400) + 1) * 86400 - t) AS BIGINT)) END AS wait_s FROM a""")
 def removal_limit(spark, d):
-    a = events(spark, d).filter("event_type = 'error'").select("event_id", (F.col("user_id") % 40).alias("ip"), "t")
-    return ev.replay_limits(a, "ip", "t", "event_id", [(86400.0, ev.REMOVALS_DAY)]).select("event_id", "ip", "accepted")
+    a = events(spark, d).select("event_id", (F.col("user_id") % 40).alias("ip"), "t")
+    return limits.removals(a, "ip", "t", ["event_id"]).select("event_id", "ip", "accepted", "code", "wait_s")
 
 
 @query("lockout", f"""WITH {EV}, a AS (SELECT event_id, user_id % 3 AS ip, t FROM ev WHERE event_type = 'error')

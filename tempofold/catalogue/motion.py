@@ -462,15 +462,32 @@ def step_features(spark, d):
                     F.get("lead", F.lit(0)).alias("lead"), "level")
 
 
-@query("counts_motion", f"""WITH {EV}, s AS (SELECT user_id % 10 AS key, CAST(floor((t - {BASE}) / 14400) AS BIGINT) AS c, value, k, k % 5 <> 0 AS ok, event_type FROM ev), l AS (SELECT key, quantile_cont(value, 0.75) AS lvl FROM s WHERE ok GROUP BY 1),
-  g AS (SELECT key, c, avg(ok::INT) AS seen, round_even(avg(value) / (max(lvl) + 1e-9), 2) AS limb, round_even(avg(k / 100.0), 2) AS root, avg(CASE WHEN event_type = 'view' THEN 1.0 ELSE 0 END) AS music FROM s JOIN l USING (key) GROUP BY 1, 2)
-  SELECT key, c, round(limb, 2) AS limb, CASE WHEN seen < 0.5 THEN 'not in frame' WHEN music < 0.2 THEN 'no music' WHEN limb < 0.5 AND root > 0.6 THEN 'walking' WHEN limb < 0.35 AND root < 0.6 THEN 'still' END AS why FROM g""")
+@query("counts_motion", f"""WITH {EV}, s AS (SELECT user_id % 10 AS key, CAST(floor((t - {BASE}) / 14400) AS BIGINT) AS c, 2 * pi() * (t - {BASE}) / 14400 AS ph, value, k, k % 5 <> 0 AS ok, event_type FROM ev), l AS (SELECT key, quantile_cont(value, 0.75) AS lvl FROM s WHERE ok GROUP BY 1),
+  g AS (SELECT key, c, avg(ok::INT) AS seen, round_even(avg(value) / (max(lvl) + 1e-9), 2) AS limb, round_even(avg(k / 100.0), 2) AS root, avg(CASE WHEN event_type = 'view' THEN 1.0 ELSE 0 END) AS music FROM s JOIN l USING (key) GROUP BY 1, 2),
+  m AS (SELECT g.key, g.c, count(*) AS n, avg(value) AS mean FROM g JOIN s ON s.key = g.key AND ok AND s.c BETWEEN g.c - 2 AND g.c + 2 GROUP BY 1, 2),
+  p AS (SELECT m.key, m.c, max(n) AS n, sum((value - mean) ** 2) AS ss, sum((value - mean) * cos(ph)) ** 2 + sum((value - mean) * sin(ph)) ** 2 + sum((value - mean) * cos(2 * ph)) ** 2 + sum((value - mean) * sin(2 * ph)) ** 2 AS power
+    FROM m JOIN s ON s.key = m.key AND ok AND s.c BETWEEN m.c - 2 AND m.c + 2 GROUP BY 1, 2)
+  SELECT key, c, round(limb, 2) AS limb, CASE WHEN n > 8 AND ss > 0 THEN round_even(least(1, power * 2 / (n * ss)), 2) ELSE 0 END AS lock,
+    CASE WHEN seen < 0.5 THEN 'not in frame' WHEN music < 0.2 THEN 'no music' WHEN limb < 0.5 AND root > 0.6 THEN 'walking' WHEN limb < 0.35 AND root < 0.6 THEN 'still' END AS why FROM g LEFT JOIN p USING (key, c)""")
 def counts_motion(spark, d):
     e = events(spark, d)
     s = e.select((F.col("user_id") % 10).alias("key"), "t", F.col("value").alias("limb"), (F.col("k") / 100).alias("root"), (F.col("k") % 5 != 0).alias("ok"),
                  F.when(F.col("event_type") == "view", 1.0).otherwise(0.0).alias("music"))
     g = motion.counts_motion(s, "key", F.lit(float(BASE)), F.lit(14400.0))
-    return g.select("key", "c", F.round("limb", 2).alias("limb"), "why")
+    return g.select("key", "c", F.round("limb", 2).alias("limb"), "lock", "why")
+
+
+@query("counts_music", f"""WITH {EV}, s AS (SELECT user_id % 10 AS key, t, CAST(floor((t - {BASE}) / 14400) AS BIGINT) AS c FROM ev WHERE event_type <> 'view'),
+  u AS (SELECT user_id % 10 AS key, t, value / 50 AS v FROM ev WHERE event_type = 'view'), g AS (SELECT DISTINCT key, c, {BASE} + (c + 0.5) * 14400 AS mid FROM s),
+  b AS (SELECT g.key, c, mid, max(u.t) FILTER (WHERE u.t <= mid) AS t0, arg_max(v, u.t) FILTER (WHERE u.t <= mid) AS v0, min(u.t) FILTER (WHERE u.t > mid) AS t1, arg_min(v, u.t) FILTER (WHERE u.t > mid) AS v1 FROM g JOIN u ON u.key = g.key GROUP BY 1, 2, 3)
+  SELECT key, c, round(coalesce(v0 + (v1 - v0) * (mid - t0) / (t1 - t0), v0, v1), 6) AS music FROM b""")
+def counts_music(spark, d):
+    """Music read at each count's centre, between the loudness samples either side."""
+    e = events(spark, d).withColumn("key", F.col("user_id") % 10)
+    s = e.filter("event_type <> 'view'").select("key", "t", F.col("value").alias("limb"), (F.col("k") / 100).alias("root"), F.lit(True).alias("ok"))
+    loud = e.filter("event_type = 'view'").select("key", "t", (F.col("value") / 50).alias("music"))
+    g = motion.counts_motion(s, "key", F.lit(float(BASE)), F.lit(14400.0), music=loud, width_s=DAY)
+    return g.select("key", "c", F.round("music", 6).alias("music"))
 
 
 @query("practised", """WITH l AS (SELECT l_suppkey AS u, l_quantity / 2 AS a, l_quantity / 2 + l_linenumber AS b FROM lineitem), c AS (SELECT DISTINCT u, unnest(range(CAST(ceil(a) AS BIGINT), CAST(floor(b) AS BIGINT) + 1)) AS c FROM l WHERE l_done(u)),

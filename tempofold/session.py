@@ -64,3 +64,10 @@ def scratch(spark: SparkSession, name: str) -> str:
 
         root = f"file://{tempfile.gettempdir()}/tempofold-scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows from a new table in the shared folder: lineage ends there, and a lost executor costs one task."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

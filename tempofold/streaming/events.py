@@ -51,13 +51,6 @@ def limited(rows: DataFrame, key: str, limits: Sequence[tuple[float, int]], expi
     return _keyed(rows, [key], state.SlidingLimiter(list(limits), rows.columns, expire=expire), out, time="ProcessingTime" if expire else "None")
 
 
-def limited_globally(rows: DataFrame, limit: int = events.GLOBAL_DAY) -> DataFrame:
-    """The one limit everybody shares: a single key by definition, so one task decides it, as one lock did."""
-    out = T.StructType([*rows.schema.fields, T.StructField("accepted", T.BooleanType())])
-    keyed = rows.withColumn("_all", F.lit("all"))
-    return _keyed(keyed, ["_all"], state.SlidingLimiter([(86400.0, limit)], rows.columns), out)
-
-
 def play_meter(plays: DataFrame, watermark: str = "1 minute") -> DataFrame:
     """play_seconds rows per visitor. Plays need visitor, lesson, seconds, at, t."""
     out = T.StructType([T.StructField("visitor", T.StringType()), T.StructField("lesson", T.StringType()), T.StructField("seconds", T.LongType())])

@@ -288,10 +288,30 @@ def feet_slope(spark, d):
     return motion.feet_slope(_feet(spark, d), "clip_id").select("clip_id", F.round("ux", 5).alias("ux"), F.round("uz", 5).alias("uz"))
 
 
-@query("plane_fit")
+#: The draws, votes and refit again: every hypothesis meets every point of its clip.
+PLANE = f"""WITH {ROWS}, {FEET}, cn AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY -ln((('0x' || substr(md5(clip_id || '|' || vec_id), 1, 8))::BIGINT + 1) / 4294967296.0) / weight) - 1 AS rn FROM ft WHERE weight > 0),
+  ps AS (SELECT clip_id, list({{'x': x, 'y': y, 'z': z}} ORDER BY rn) AS pts, least(count(*), 1200) AS m FROM cn WHERE rn < 1200 GROUP BY 1 HAVING count(*) >= 3),
+  tr AS (SELECT clip_id, h, pts[1 + CASE WHEN 3 * h < m THEN 3 * h ELSE ('0x' || substr(md5(h || '-0'), 1, 8))::BIGINT % m END] AS a, pts[1 + CASE WHEN 3 * h + 1 < m THEN 3 * h + 1 ELSE ('0x' || substr(md5(h || '-1'), 1, 8))::BIGINT % m END] AS b,
+    pts[1 + CASE WHEN 3 * h + 2 < m THEN 3 * h + 2 ELSE ('0x' || substr(md5(h || '-2'), 1, 8))::BIGINT % m END] AS c FROM ps, range(0, 400) r(h)),
+  nr AS (SELECT clip_id, h, a, (b.y - a.y) * (c.z - a.z) - (b.z - a.z) * (c.y - a.y) AS nx, (b.z - a.z) * (c.x - a.x) - (b.x - a.x) * (c.z - a.z) AS ny, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS nz FROM tr),
+  pl AS (SELECT clip_id, h, a, nx * s AS nx, ny * s AS ny, nz * s AS nz FROM (SELECT *, CASE WHEN ny < 0 THEN -1 ELSE 1 END / sqrt(nx * nx + ny * ny + nz * nz) AS s FROM nr WHERE sqrt(nx * nx + ny * ny + nz * nz) >= 1e-9) WHERE ny * s >= cos(radians(25))),
+  vo AS (SELECT pl.*, coalesce((SELECT sum(weight) FROM cn WHERE cn.clip_id = pl.clip_id AND abs((x - a.x) * nx + (y - a.y) * ny + (z - a.z) * nz) <= 0.03), 0) AS score FROM pl),
+  bs AS (SELECT * FROM vo QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY round(score, 9) DESC, h) = 1),
+  su AS (SELECT clip_id, sum(weight * x) / sum(weight) AS ox, sum(weight * y) / sum(weight) AS oy, sum(weight * z) / sum(weight) AS oz, sum(weight * x * x) / sum(weight) - ox * ox AS xx, sum(weight * y * y) / sum(weight) - oy * oy AS yy, sum(weight * z * z) / sum(weight) - oz * oz AS zz,
+    sum(weight * x * y) / sum(weight) - ox * oy AS xy, sum(weight * x * z) / sum(weight) - ox * oz AS xz, sum(weight * y * z) / sum(weight) - oy * oz AS yz FROM cn JOIN bs USING (clip_id) WHERE abs((x - a.x) * nx + (y - a.y) * ny + (z - a.z) * nz) <= 0.03 GROUP BY 1),
+  e1 AS (SELECT *, (xx + yy + zz) / 3 AS q FROM su), e2 AS (SELECT *, sqrt(((xx - q) ** 2 + (yy - q) ** 2 + (zz - q) ** 2 + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM e1),
+  e3 AS (SELECT *, q + 2 * p * cos(acos(greatest(-1, least(1, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p ** 3)))) / 3 + 2 * pi() / 3) AS lo FROM e2),
+  e4 AS (SELECT *, list_max([{{'n': sqrt(u.x ** 2 + u.y ** 2 + u.z ** 2), 'v': u}}, {{'n': sqrt(v.x ** 2 + v.y ** 2 + v.z ** 2), 'v': v}}, {{'n': sqrt(w.x ** 2 + w.y ** 2 + w.z ** 2), 'v': w}}]) AS best FROM (SELECT *,
+    {{'x': xy * yz - xz * (yy - lo), 'y': xz * xy - (xx - lo) * yz, 'z': (xx - lo) * (yy - lo) - xy * xy}} AS u, {{'x': xy * (zz - lo) - xz * yz, 'y': xz * xz - (xx - lo) * (zz - lo), 'z': (xx - lo) * yz - xy * xz}} AS v,
+    {{'x': (yy - lo) * (zz - lo) - yz * yz, 'y': yz * xz - xy * (zz - lo), 'z': xy * yz - (yy - lo) * xz}} AS w FROM e3)),
+  fi AS (SELECT clip_id, ox, oy, oz, best.v.x * s AS nx, best.v.y * s AS ny, best.v.z * s AS nz FROM (SELECT *, CASE WHEN best.v.y < 0 THEN -1 ELSE 1 END / best.n AS s FROM e4))"""
+
+
+@query("plane_fit", f"""{PLANE} SELECT clip_id, round(any_value(nx), 6) AS nx, round(any_value(ny), 6) AS ny, round(any_value(nz), 6) AS nz, round(sqrt(sum(weight * d * d) / sum(weight)), 6) AS rms_m, round(degrees(acos(any_value(ny))), 6) AS tilt_deg, count(*) AS inliers
+  FROM (SELECT fi.*, weight, (x - ox) * nx + (y - oy) * ny + (z - oz) * nz AS d FROM fi JOIN cn USING (clip_id)) WHERE abs(d) <= 0.03 GROUP BY clip_id HAVING count(*) >= 3""")
 def plane_fit(spark, d):
-    """Seeded random hypotheses; checked against a planted plane in the tests."""
-    f = motion.fit_plane(_feet(spark, d), "clip_id", tol=0.03)
+    """Random hypotheses seeded by the points' ids, votes by slices, the winner refitted."""
+    f = motion.fit_plane(_feet(spark, d), "clip_id", tol=0.03, ids=["vec_id"])
     return f.select("clip_id", *[F.round(c, 6).alias(c) for c in ("nx", "ny", "nz", "rms_m", "tilt_deg")], "inliers")
 
 

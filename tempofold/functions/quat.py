@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, functions as F
@@ -115,6 +116,43 @@ def plane_distance(p, origin, normal) -> Column:
     return dot(sub(p, origin), normal)
 
 
+def flattest(m) -> Column:
+    """Unit vector, y not negative, along which a symmetric 3x3 matrix (xx, yy, zz, xy, xz, yz) is least: its smallest eigenvector.
+
+    The smallest eigenvalue has a closed form by cosines; the vector is the longest cross product of two
+    rows of the matrix less it. Where that leaves one row (points on a line) it is the upright nearest
+    to +Y, and +Y itself where nothing is left (one point).
+    """
+    def shifted(e):
+        q = (e["xx"] + e["yy"] + e["zz"]) / 3
+        off = e["xy"] * e["xy"] + e["xz"] * e["xz"] + e["yz"] * e["yz"]
+        p = F.sqrt(((e["xx"] - q) * (e["xx"] - q) + (e["yy"] - q) * (e["yy"] - q) + (e["zz"] - q) * (e["zz"] - q) + 2 * off) / 6)
+        return F.struct(*[e[f].alias(f) for f in ("xx", "yy", "zz", "xy", "xz", "yz")], q.alias("q"), p.alias("p"))
+
+    def least(e):
+        a, b, c = e["xx"] - e["q"], e["yy"] - e["q"], e["zz"] - e["q"]
+        det = a * (b * c - e["yz"] * e["yz"]) - e["xy"] * (e["xy"] * c - e["yz"] * e["xz"]) + e["xz"] * (e["xy"] * e["yz"] - b * e["xz"])
+        r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), det / (2 * e["p"] * e["p"] * e["p"])))
+        low = F.when(e["p"] > 0, e["q"] + 2 * e["p"] * F.cos(F.acos(r) / 3 + 2 * math.pi / 3)).otherwise(e["q"])
+        rows = [vec(e["xx"] - low, e["xy"], e["xz"]), vec(e["xy"], e["yy"] - low, e["yz"]), vec(e["xz"], e["yz"], e["zz"] - low)]
+        crosses = [cross(rows[i], rows[j]) for i, j in ((0, 1), (0, 2), (1, 2))]
+        longest = lambda vs: F.array_max(F.array(*[F.struct(norm(v).alias("n"), pack(v).alias("v")) for v in vs]))
+        return F.struct(longest(crosses).alias("c"), longest(rows).alias("r"), e["p"].alias("p"))
+
+    def chosen(e):
+        d = {f: e["r"]["v"][f] / e["r"]["n"] for f in "xyz"}
+        upright = vec(-d["y"] * d["x"], 1 - d["y"] * d["y"], -d["y"] * d["z"])
+        flat = F.when(e["c"]["n"] > 1e-12 * e["p"] * e["p"], e["c"]["v"]).when((e["p"] > 0) & (norm(upright) > 1e-9), pack(upright))
+        return F.coalesce(flat, F.when(e["p"] > 0, pack(vec(F.lit(1.0), F.lit(0.0), F.lit(0.0)))), pack(vec(F.lit(0.0), F.lit(1.0), F.lit(0.0))))
+
+    def unit(v):
+        k = F.when(v["y"] < 0, -1.0).otherwise(1.0) / norm(v)
+        return pack({f: v[f] * k for f in "xyz"})
+
+    start = F.struct(*[m[f].alias(f) for f in ("xx", "yy", "zz", "xy", "xz", "yz")])
+    return let(start, lambda e: let(shifted(e), lambda e: let(least(e), lambda e: let(chosen(e), unit))))
+
+
 def tilt_deg(normal) -> Column:
     """Angle between a unit normal and +Y."""
     return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), normal["y"]))))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import counts as C, text
+from ..session import stored
+from . import ordered
 from .quantiles import exact_quantiles
 
 # States and the limits of retries, exports and idle lessons.
@@ -121,30 +123,27 @@ def touches(opens: DataFrame, tombstones: DataFrame) -> DataFrame:
     return opens.join(tombstones.select("clip_id"), "clip_id", "left_anti").groupBy("clip_id").agg(F.max("t").alias("at"))
 
 
-def touch_writes(opens: DataFrame, clip: str = "clip_id", t: str = "t") -> DataFrame:
-    """The throttled writes themselves: an open writes only a day after the last write.
+def touch_writes(opens: DataFrame, clip: str = "clip_id", t: str = "t", width_s: float = 3600.0) -> DataFrame:
+    """The throttled writes themselves: an open writes only a day after the last write. Adds ``writes``.
 
-    Each write depends on the one before, so a lesson is folded in time order with
-    one number of state, streamed through sorted Arrow batches. Adds ``writes``.
+    A write points to the first open a day or more after it, and after a quiet day the next open writes
+    whatever came before; so the writes are the chains from those opens, and a lesson that is opened a
+    million times is spread over tasks. Opens of one moment are alike to the rule: the first of them by
+    the other columns writes. ``clip`` and ``t`` (seconds) must not be null.
     """
-    schema = T.StructType([*opens.schema.fields, T.StructField("writes", T.BooleanType(), False)])
-
-    def fold(batches):
-        current, last = object(), None
-        for pdf in batches:
-            flags = []
-            for c, at in zip(pdf[clip].to_numpy(), pdf[t].to_numpy()):
-                if c != current:
-                    current, last = c, None
-                hit = last is None or at - last >= TOUCH_EVERY_S
-                if hit:
-                    last = at
-                flags.append(hit)
-            yield pdf.assign(writes=flags)
-
-    # Opens of one moment are alike to the rule; the other columns fix which of them writes.
+    us = F.round(F.col(t) * 1_000_000).cast("bigint")
+    placed = stored(opens.withColumn("_us", us).withColumn("_row", F.monotonically_increasing_id()), "touch-opens")
+    moments = stored(placed.select(F.col(clip).alias("_clip"), "_us").distinct().withColumn("_s", F.col("_us") / 1_000_000), "touch-moments")
+    # Numbered in slices, moments meet their predecessor within a run and their successor by an as-of lookup on whole microseconds.
+    before = ordered.carry_last(moments, ["_clip"], ["_us"], ordered.time_bucket("_s", width_s), {"_prev": F.col("_us")}, strict=True)
+    day = TOUCH_EVERY_S * 1_000_000
+    probes = before.withColumn("_first", F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") >= day)).select("_clip", (F.col("_us") + day).alias("_at"), "_us", "_first")
+    marks = moments.select("_clip", F.col("_us").alias("_at"))
+    ahead = ordered.asof(probes, marks, ["_clip"], "_at", [], width_s * 1_000_000, ahead=True).withColumn("_next", F.col("hit.t"))
+    written = ordered.reachable(ahead, ["_clip"], "_us", "_next", "_first").select(F.col("_clip").alias(clip), "_us")
     ties = [c for c in opens.columns if c not in (clip, t)]
-    return opens.repartition(F.col(clip)).sortWithinPartitions(clip, t, *ties).mapInPandas(fold, schema)
+    heads = placed.join(written, [clip, "_us"]).groupBy(clip, "_us").agg(F.min(F.struct(*ties, "_row")).alias("_h")).select(F.col("_h._row").alias("_row"), F.lit(True).alias("writes"))
+    return placed.join(heads, "_row", "left").select(*opens.columns, F.coalesce("writes", F.lit(False)).alias("writes"))
 
 
 def recent_succeeded(jobs: DataFrame, limit: int, created: str = "created_at", tie: str = "job_id") -> DataFrame:

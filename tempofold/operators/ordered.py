@@ -21,6 +21,8 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import stored
+
 RUN_ROWS = 65536
 BEFORE = W.unboundedPreceding
 
@@ -251,3 +253,23 @@ def sessions(df: DataFrame, keys: Sequence[str], t: str, tie: Sequence[str], gap
     prev = carry_last(df, keys, order, time_bucket(t, width_s), {"_prev": F.col(t)}, strict=True)
     flag = F.when(F.col("_prev").isNull() | (F.col(t) - F.col("_prev") > gap_s), 1).otherwise(0)
     return running_sum(prev, keys, order, time_bucket(t, width_s), {"session": flag}).drop("_prev")
+
+
+def reachable(nodes: DataFrame, keys: Sequence[str], at: str, after: str, start: str) -> DataFrame:
+    """(keys, at) of the nodes that chains of pointers from the ``start`` nodes pass through.
+
+    ``nodes``: keys, ``at`` (one row each within a key), ``after`` (a later ``at``, or null at a chain's
+    end) and a boolean ``start``. Pointers double in reach each round, so a chain of n nodes takes
+    log2(n) rounds, and every join is on (key, node): a key's chain is never one task's work.
+    """
+    by = [*keys, at]
+    reached = stored(nodes.filter(start).select(*by), "chain-reached")
+    jumps = stored(nodes.filter(F.col(after).isNotNull()).select(*by, after), "chain-jumps")
+    while True:
+        ahead = reached.join(jumps, by).select(*keys, F.col(after).alias(at)).distinct().join(reached, by, "left_anti")
+        ahead = stored(ahead, "chain-ahead")
+        if ahead.isEmpty():
+            return reached
+        reached = reached.unionByName(ahead)
+        further = jumps.select(*keys, F.col(at).alias(after), F.col(after).alias("_further"))
+        jumps = stored(jumps.join(further, [*keys, after]).select(*by, F.col("_further").alias(after)), "chain-jumps")

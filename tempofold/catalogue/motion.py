@@ -332,6 +332,22 @@ def constant_bones(spark, d):
     return motion.constant_bones(x, ["k"], ["x", "y"]).select("vec_id", F.round("correction", 6).alias("correction"), F.round("x", 6).alias("x"))
 
 
+@query("constant_chain", f"""WITH RECURSIVE {ROWS}, p AS (SELECT clip_id, vec_id, j, v[4 * j + 1] AS x, v[4 * j + 2] AS y, v[4 * j + 3] AS z FROM rw, range(0, {JOINTS}) r(j)),
+  o AS (SELECT c.clip_id, c.vec_id, c.j, c.x - coalesce(u.x, 0) AS x, c.y - coalesce(u.y, 0) AS y, c.z - coalesce(u.z, 0) AS z FROM p c LEFT JOIN p u ON u.vec_id = c.vec_id AND u.clip_id = c.clip_id AND c.j > 0 AND u.j = (c.j - 1) // 2),
+  m AS (SELECT clip_id, j, quantile_cont(sqrt(x * x + y * y + z * z), 0.5) AS usual FROM o WHERE j > 0 GROUP BY 1, 2),
+  s AS (SELECT o.*, usual, CASE WHEN usual IS NULL THEN 1 ELSE usual / sqrt(x * x + y * y + z * z) END AS k FROM o LEFT JOIN m USING (clip_id, j)),
+  w AS (SELECT clip_id, vec_id, j, x, y, z FROM s WHERE j = 0 UNION ALL SELECT s.clip_id, s.vec_id, s.j, w.x + s.x * k, w.y + s.y * k, w.z + s.z * k FROM w JOIN s ON s.vec_id = w.vec_id AND s.clip_id = w.clip_id AND s.j > 0 AND (s.j - 1) // 2 = w.j)
+  SELECT w.vec_id, CAST(w.j AS INT) AS joint, round(w.x, 6) AS x, round(w.y, 6) AS y, round(w.z, 6) AS z, round(sqrt((w.x - p.x) ** 2 + (w.y - p.y) ** 2 + (w.z - p.z) ** 2), 6) AS correction FROM w JOIN p USING (clip_id, vec_id, j)""")
+def constant_chain(spark, d):
+    """Fifteen joints of a binary tree placed by their cells: every bone at its usual length, end joints moved along."""
+    x = _rows(spark, d).withColumn("joint_idx", F.explode(F.sequence(F.lit(0), F.lit(JOINTS - 1))))
+    cell = lambda i: F.get("v", 4 * F.col("joint_idx") + i)
+    samples = x.select("clip_id", "vec_id", "joint_idx", cell(0).alias("x"), cell(1).alias("y"), cell(2).alias("z"))
+    rig = samples.select("joint_idx").distinct().withColumn("parent_idx", F.when(F.col("joint_idx") == 0, -1).otherwise(F.floor((F.col("joint_idx") - 1) / 2)).cast("int"))
+    out = motion.constant_chain(samples, rig, ["clip_id"], ["vec_id"])
+    return out.select("vec_id", F.col("joint_idx").alias("joint"), *[F.round(c, 6).alias(c) for c in ("x", "y", "z", "correction")])
+
+
 @query("track_links", f"""WITH {EV}, tr AS (SELECT user_id % 20 AS clip, user_id AS track_id, min(t) AS first_t, max(t) AS last_t, count(*) AS frames, arg_min(value, t) AS fx, arg_max(value, t) AS lx FROM ev GROUP BY 1, 2, CAST(ts AS DATE)),
   x AS (SELECT clip, CAST(track_id * 1000000000 + first_t AS BIGINT) AS id, first_t, last_t, frames, fx, lx FROM tr WHERE frames >= 2), j AS (SELECT s.clip, s.id AS b, e.id AS a, s.first_t - e.last_t AS gap FROM x s JOIN x e ON s.clip = e.clip AND s.id <> e.id AND e.last_t <= s.first_t AND s.first_t - e.last_t <= 43200 AND abs(e.lx - s.fx) <= 15)
   SELECT clip, b, arg_min(a, (gap, a)) AS a FROM j GROUP BY 1, 2""")

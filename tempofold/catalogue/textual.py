@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import hashes, text
+from ..functions import hashes, nested, text
 from .base import query, table
 
 # RE2 spellings for DuckDB: no look-around, so an edge is captured and put back.
@@ -38,6 +38,18 @@ def scrub_turns(spark, d):
     return out.select("conv_id", "turn", F.sha2(F.when(F.col("m")["function"] == F.col("text"), F.col("m")["text"]).cast("binary"), 256).alias("scrubbed"))
 
 
+@query("scrub_nested", f"""SELECT doc_id, sha256({_duck_scrub('text')}) AS top, sha256({_duck_scrub("text || ' @' || source")}) AS listed, sha256({_duck_scrub('text')}) AS deep, sha256(text) AS code, sha256(text) AS held, n_chars FROM documents""")
+def scrub_nested(spark, d):
+    """Every document four levels down a VARIANT, in lists of lists too, and under keys that hold code."""
+    t = F.col("text")
+    deep = F.struct(t.alias("function"), F.array(F.array(F.struct(t.alias("x")))).alias("more"), F.struct(F.array(t).alias("lines")).alias("context_line"))
+    doc = F.struct(t.alias("a"), F.struct(F.array(F.concat(t, F.lit(" @"), F.col("source"))).alias("list"), deep.alias("in")).alias("b"), F.col("n_chars").alias("n"))
+    v = table(spark, d, "documents").select("doc_id", nested.scrub_variant(F.parse_json(F.to_json(doc))).alias("v"))
+    at = lambda path: F.sha2(F.variant_get("v", path, "string").cast("binary"), 256)
+    return v.select("doc_id", at("$.a").alias("top"), at("$.b.list[0]").alias("listed"), at("$.b.in.more[0][0].x").alias("deep"), at("$.b.in.function").alias("code"), at("$.b.in.context_line.lines[0]").alias("held"),
+                    F.variant_get("v", "$.n", "bigint").alias("n_chars"))
+
+
 _CTRL = r"[\x{0}-\x{1f}\x{7f}-\x{9f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2066}-\x{2069}]"
 _TIDY = f"trim(regexp_replace(regexp_replace(text, '{_CTRL}', ' ', 'g'), '[\\s\\x{{1c}}-\\x{{1f}}\\x{{85}}\\p{{Z}}]+', ' ', 'g'))"
 

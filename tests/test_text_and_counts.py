@@ -75,3 +75,23 @@ def test_one_alternates(spark):
     alts = F.expr("array(named_struct('count_one_s', 2.0D), named_struct('count_one_s', 0.5D), named_struct('count_one_s', 2.5D), named_struct('count_one_s', 0.0D))")
     r = spark.range(1).select(C.one_alternates(alts, F.lit(1.0), F.lit(0.5), F.lit(False)).alias("a"), C.one_alternates(alts, F.lit(1.0), F.lit(0.5), F.lit(True)).alias("b")).first()
     assert [x.by for x in r.a] == [2, -2, 3] and [x.by for x in r.b] == [2, -2, -1, 3]
+
+
+def test_nested_values_are_scrubbed_at_any_depth(spark):
+    import json
+
+    from tempofold.functions import nested
+
+    mail = "mail a.b@example.com now"
+    doc = {"a": mail, "list": [mail, [{"deep": [mail, 1.50, None, True]}], {}], "function": mail, "context_line": {"x": [mail]}, "after": mail, 'qu"ote': 'say "x@y.org" \\ ü', mail: 2}
+    cases = [json.dumps(doc, ensure_ascii=False), json.dumps(mail), "{}", "[]", "12", None]
+    flat = spark.createDataFrame([(mail,), ('say "x@y.org" \\ ü',)], "t string").select(text.scrub_text(F.col("t"))).collect()
+    clean, quoted = flat[0][0], flat[1][0]
+    assert clean != mail and quoted != 'say "x@y.org" \\ ü'
+    want = {**doc, "a": clean, "list": [clean, [{"deep": [clean, 1.50, None, True]}], {}], "after": clean, 'qu"ote': quoted}
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string")
+    got = [r.s for r in df.select("i", nested.scrub_json(F.col("c")).alias("s")).orderBy("i").collect()]
+    assert json.loads(got[0]) == want and json.loads(got[1]) == clean and got[2:] == cases[2:]
+    assert "1.5" in got[0] and got[0].count(mail) == 3  # a code key, a subtree under one, and a key itself
+    back = df.filter("i = 0").select(nested.scrub_variant(F.parse_json("c")).alias("v")).select(F.to_json("v")).first()[0]
+    assert json.loads(back) == want

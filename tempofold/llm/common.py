@@ -47,29 +47,42 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(c.alias(k) for k, c in more.items()))
 
 
-def backed(df: DataFrame) -> DataFrame:
-    """A frame that reads files, so that its rows have a place (file and row) which every scan of it agrees on."""
+def metadata(df: DataFrame, *fields: str) -> list[Column]:
+    """Fields of the files that rows come from, also where a column of the table is called as Spark calls them."""
+    whole = df.metadataColumn("_metadata") if "_metadata" in df.columns else F.col("_metadata")
+    return [whole.getField(f) for f in fields]
+
+
+def _in_files(df: DataFrame) -> bool:
     try:
-        df.select("_metadata.file_path", "_metadata.row_index").schema  # resolves, or not
-        return df
+        df.select(*metadata(df, "file_path", "row_index")).schema  # resolves, or not
+        return True
     except AnalysisException:
-        return written(df, "rows")
+        return False
+
+
+def backed(df: DataFrame) -> DataFrame:
+    """A frame that reads files, so that its rows have a place (file and row) which every scan of it agrees on."""
+    return df if _in_files(df) else written(df, "rows")
 
 
 def located(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, file, row."""
-    try:
-        docs.select("_metadata.file_path", "_metadata.row_index").schema
-    except AnalysisException:
+    if not _in_files(docs):
         docs, id_col, text_col = written(texts(docs, id_col, text_col), "texts"), "doc_id", "text"
-    return texts(docs, id_col, text_col, file=F.col("_metadata.file_path"), row=F.col("_metadata.row_index"))
+    file, row = metadata(docs, "file_path", "row_index")
+    return texts(docs, id_col, text_col, file=file, row=row)
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of a file-backed frame whose place is not among (file, row) of ``gone``."""
-    placed = docs.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("__place"))
-    keys = gone.select(F.struct(F.col("file").alias("file_path"), F.col("row").alias("row_index")).alias("__gone"))
-    return placed.join(keys, F.col("__place") == F.col("__gone"), "left_anti").drop("__place")
+    mark = "__place"
+    while mark in docs.columns or f"{mark}_gone" in docs.columns:
+        mark += "_"
+    file, row = metadata(docs, "file_path", "row_index")
+    placed = docs.select("*", F.struct(file.alias("file_path"), row.alias("row_index")).alias(mark))
+    keys = gone.select(F.struct(F.col("file").alias("file_path"), F.col("row").alias("row_index")).alias(f"{mark}_gone"))
+    return placed.join(keys, F.col(mark) == F.col(f"{mark}_gone"), "left_anti").drop(mark)
 
 
 def fold(doc_id: Column, of: int = 5) -> Column:

@@ -168,10 +168,11 @@ def write(docs: DataFrame, path: str, encoding: str = "dictionary", shard_bytes:
     if encoding not in ENCODINGS:
         raise ValueError(f"encoding must be one of {ENCODINGS}")
     spark = docs.sparkSession
-    docs = common.backed(docs)
+    docs = common.backed(docs.select(F.col(id_col), F.col(text_col)))  # other columns are not read
     # Texts go to their range once and are encoded there, so ids are written once and never shuffled.
     rows = common.located(docs, id_col, text_col).select("doc_id", F.xxhash64("file").alias("place"), "row", F.col("text").cast("binary").alias("text"))
-    held = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).distinct().agg(F.sum("size")).first()[0] or 0
+    file, size = common.metadata(docs, "file_path", "file_size")
+    held = docs.select(file.alias("file"), size.alias("size")).distinct().agg(F.sum("size")).first()[0] or 0
     ranges = max(-(-held // shard_bytes), min(spark.sparkContext.defaultParallelism, held // MIN_SHARD), 1)
     order = [F.col("doc_id").asc_nulls_first(), F.col("place"), F.col("row")]
     # The tie columns decide the order only and stay on this side.

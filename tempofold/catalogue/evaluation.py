@@ -50,18 +50,9 @@ def confusion_sweep(spark, d):
     return _conf(ev.confusion(s, ["lang"], ev.thresholds("score", [0.3, 0.4, 0.5]), F.col("pos")))
 
 
-_RULE = {
-    "A-lite (2 fps, 16 s): no person OR frozen": "person < 0.3 OR limb < 0.02",
-    "RECOMMENDED: CLIP < 0.5 OR A-lite(no person OR frozen)": "clip < 0.5 OR person < 0.3 OR limb < 0.02",
-    "CLIP < 0.4 OR A-lite(no person OR frozen)": "clip < 0.4 OR person < 0.3 OR limb < 0.02",
-    "CLIP < 0.50": "clip < 0.5", "CLIP < 0.40": "clip < 0.4", "SmolVLM < 0.15": "score < 0.15", "X-CLIP < 0.20": "score < 0.2",
-    "Kinetics < 0.005": "score < 0.005", "A: no person (<30% frames)": "person < 0.3",
-    "A: no person OR no full body (<15%)": "person < 0.3 OR score < 0.15",
-    "A: ... OR frozen (limb < 0.02)": "person < 0.3 OR score < 0.15 OR limb < 0.02",
-    "CLIP < 0.5 OR A(person/full body/frozen)": "clip < 0.5 OR person < 0.3 OR score < 0.15 OR limb < 0.02",
-    "CLIP < 0.4 OR A(person/full body/frozen)": "clip < 0.4 OR person < 0.3 OR score < 0.15 OR limb < 0.02",
-    "SmolVLM < 0.15 OR A(...)": "score < 0.15 OR person < 0.3 OR limb < 0.02",
-}
+_SIGNAL = {"clip50": "clip < 0.5", "clip40": "clip < 0.4", "smolvlm15": "score < 0.15", "xclip20": "score < 0.2", "kinetics0.5": "score < 0.005", "nobody": "person < 0.3", "partial": "score < 0.15", "frozen": "limb < 0.02",
+           "lite": "person < 0.3 OR limb < 0.02"}
+_RULE = {"+".join(names): " OR ".join(_SIGNAL[n] for n in names) for names in ev.COMPARED}
 
 
 @query("rule_sweep", f"WITH {SC}, x AS (" + " UNION ALL ".join(f"SELECT lang, pos, '{n}' AS rule, NOT ({r}) AS ok FROM sc" for n, r in _RULE.items()) + ") " + CONF.format(src="x"))

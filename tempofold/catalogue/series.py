@@ -349,6 +349,23 @@ def beat_index(spark, d):
     return x.select("user_id", F.round("h", 6).alias("h"), F.col("c").cast("bigint").alias("c"))
 
 
+@query("half_time", f"""WITH {EV}, bt AS (SELECT user_id, (t - {BASE}) / 3600 AS h, row_number() OVER w - 1 AS i, (t - lag(t) OVER w) / 3600 AS gap FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+  db AS (SELECT user_id, h, h - lag(h) OVER (PARTITION BY user_id ORDER BY h) AS gap FROM bt WHERE i % (2 + 2 * (user_id % 2)) = 0),
+  bars AS (SELECT user_id, quantile_cont(gap, 0.5) AS bar, count(gap) AS bars FROM db GROUP BY 1),
+  med AS (SELECT user_id, median(gap) AS mg FROM bt GROUP BY 1), m AS (SELECT med.*, CASE WHEN bars >= 2 THEN bar / mg ELSE 4 END AS bar_beats FROM med LEFT JOIN bars USING (user_id)),
+  u AS (SELECT *, 60 / mg < 70 AND round_even(bar_beats, 0) = 2 AS half FROM m),
+  st AS (SELECT bt.*, mg, bar_beats, half, CASE WHEN gap IS NULL THEN 0 ELSE greatest(1, round_even(gap / CASE WHEN half THEN mg / 2 ELSE mg END, 0)) END AS step FROM bt JOIN u USING (user_id)),
+  ix AS (SELECT *, sum(step) OVER (PARTITION BY user_id ORDER BY i) AS c FROM st)
+  SELECT user_id, count(*) AS n, round(max(bar_beats), 4) AS bar_beats, coalesce(bool_or(half), false) AND count(*) >= 4 AS half, CAST(max(c) AS BIGINT) AS last_c, round(CASE WHEN count(*) < 4 THEN coalesce(max(mg), 0.5) ELSE regr_slope(h, c) END, 4) AS spc,
+    round(CASE WHEN count(*) < 4 THEN min(h) ELSE regr_intercept(h, c) END, 3) AS phase FROM ix GROUP BY 1""")
+def half_time(spark, d):
+    """Every second beat a downbeat for one half of the users, every fourth for the other: slow two-beat bars are read at double the rate."""
+    x = series.indexed(_beats(spark, d), ["user_id"], "h", width_s=24.0)
+    down = x.filter(F.col("idx") % (2 + 2 * (F.col("user_id") % 2)) == 0).select("user_id", "h")
+    g, _ = grid.fit(_beats(spark, d), "user_id", "h", down, width_s=24.0)
+    return g.select("user_id", "n", F.round("bar_beats", 4).alias("bar_beats"), "half", "last_c", F.round("spc", 4).alias("spc"), F.round("phase", 3).alias("phase"))
+
+
 @query("phase_vote", f"""WITH {BEATS}, db AS (SELECT user_id, (t - {BASE}) / 3600 AS h FROM ev WHERE event_type = 'signup'),
   nr AS (SELECT db.user_id, db.h, arg_min(ix.c, (abs(ix.h - db.h), ix.h)) AS c FROM db JOIN ix ON ix.user_id = db.user_id GROUP BY 1, 2),
   vt AS (SELECT user_id, {', '.join(f"count(*) FILTER (WHERE c % 4 = {k}) AS v{k}" for k in range(4))} FROM nr GROUP BY 1),
@@ -375,7 +392,7 @@ def tempo_alternates(spark, d):
     g, _ = grid.fit(_beats(spark, d), "user_id", "h", width_s=24.0)
     g = g.withColumn("alts", grid.tempo_alternates(F.col("spc"), F.col("bpm"))).withColumn(
         "warn", grid.warnings(F.col("n"), F.lit(False), F.lit(2.0), F.col("bpm")))
-    kind = F.when(F.exists("warn", lambda w: w.startswith("only")), "few").when(F.size("warn") > 0, "odd").otherwise("plain")
+    kind = F.when(F.exists("warn", lambda w: w.startswith("few beats")), "few").when(F.size("warn") > 0, "odd").otherwise("plain")
     a = F.col("alts")
     return g.select("user_id", kind.alias("kind"), F.round(a[0]["seconds_per_count"], 4).alias("double_spc"),
                     F.round(a[1]["seconds_per_count"], 4).alias("half_spc"), F.round(a[0]["bpm"], 2).alias("double_bpm"))

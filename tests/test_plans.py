@@ -23,7 +23,7 @@ def test_scans_read_only_their_columns(spark):
 
 
 def test_filters_reach_the_scan(spark):
-    assert "event_type" in check.pushed_filters(QUERIES["removal_limit"](spark, DATA))
+    assert "event_type" in check.pushed_filters(QUERIES["lockout"](spark, DATA))
 
 
 def test_every_oracle_has_a_query():

@@ -258,15 +258,19 @@ def null_distribution(grids: DataFrame, hits: DataFrame, onsets: DataFrame, key:
     """Chance level of fast counts: the hits replayed at shifted offsets, mean and 95th percentile per key.
 
     Shifts run over 0.1-0.9 counts by the golden-ratio sequence, so a rerun repeats them.
+    Shifted hits are made and folded into their counts' positions in the task that reads them; onsets do
+    not move, so their positions are found once for all replicates.
     """
     shift = 0.1 + 0.8 * F.pmod(F.col("r") * 0.6180339887498949, F.lit(1.0))
     rep = F.explode(F.sequence(F.lit(1), F.lit(replicates)))
-    g = grids.withColumn("r", rep).withColumn("_k", F.struct(F.col(key), "r"))
-    h = hits.join(grids.select(key, "spc"), key).withColumn("r", rep).select(
-        F.struct(F.col(key), "r").alias("_k"), (F.col(t) + shift * F.col("spc")).alias(t))
-    o = onsets.withColumn("r", rep).select(F.struct(F.col(key), "r").alias("_k"), t)
-    found = series.fast_counts(g.select("_k", "one", "spc"), h, o, "_k", t, tol_max, tol_frac).groupBy("_k").agg(F.count("*").alias("_n"))
-    per = g.select("_k", key).join(found, "_k", "left").withColumn("_n", F.coalesce("_n", F.lit(0)).cast("double"))
+    on_grid = lambda marks: marks.select(key, t).distinct().join(grids.select(key, "one", "spc"), key)
+    h = on_grid(hits).withColumn("r", rep).withColumn(t, F.col(t) + shift * F.col("spc"))
+    h = series.count_positions(h, [key, "r"], t, tol_max, tol_frac, "_h")
+    o = series.count_positions(on_grid(onsets), [key], t, tol_max, tol_frac, "_o")
+    off_beat = F.col("_h").bitwiseAND(F.lit(0b1010)) != 0
+    fast = h.filter((F.bit_count("_h") >= 3) & off_beat).join(o.filter(F.bit_count("_o") >= 3), [key, "c"])
+    found = fast.groupBy(key, "r").agg(F.count("*").alias("_n"))
+    per = grids.select(key).withColumn("r", rep).join(found, [key, "r"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)).cast("double"))
     # One number per replicate: the group is the replicate count, whatever the data's size.
     return per.groupBy(key).agg(F.avg("_n").alias("mean"), F.percentile("_n", 0.95).alias("p95"), F.count("*").alias("replicates"))
 

@@ -102,6 +102,24 @@ def fast_counts(grids: DataFrame, hits: DataFrame, onsets: DataFrame, key: str,
     return per.filter((F.col("hits") >= need) & (F.col("onsets") >= need) & (F.col("_off") == 1)).drop("_off")
 
 
+def count_positions(marks: DataFrame, keys: Sequence[str], t: str, tol_max: float, tol_frac: float, out: str) -> DataFrame:
+    """keys, c, ``out``: the sixteenth positions of each count that carry a mark, as four bits.
+
+    ``marks``: keys, t and their grid's one and spc. A mark names the positions within reach of it by
+    arithmetic, so nothing is joined and each task sends one row per (keys, count).
+    """
+    tol = F.least(F.col("spc") * tol_frac, F.lit(float(tol_max)))
+    step = F.col("spc") / 4
+    # A little beyond the tolerance, for rounding; the comparison below decides.
+    low = F.ceil((F.col(t) - tol - F.col("one")) / step - 1e-3)
+    high = F.floor((F.col(t) + tol - F.col("one")) / step + 1e-3)
+    x = marks.withColumn("_at", F.explode(F.when(low <= high, F.sequence(low, high))))
+    x = x.withColumn("c", F.floor(F.col("_at") / 4)).withColumn("j", F.pmod("_at", F.lit(4)).cast("int"))
+    near = F.abs(F.col("one") + (F.col("c") + F.col("j") / 4) * F.col("spc") - F.col(t)) <= tol
+    bit = F.element_at(F.array(*[F.lit(1 << j) for j in range(4)]), F.col("j") + 1)
+    return x.filter(near).groupBy(*keys, "c").agg(F.bit_or(bit).alias(out))
+
+
 # -- neighbourhoods -----------------------------------------------------------
 
 def moving_average(df: DataFrame, keys: Sequence[str], value: str, k: int, size: str = "n", out: str = "smooth") -> DataFrame:

@@ -389,8 +389,8 @@ def play_buckets(plays: DataFrame, visitor: str, lesson: str, t: str, tie: str,
                  width_s: float = 3600.0, size: int = 30) -> DataFrame:
     """Playing time as whole buckets of ``size`` seconds, the rest flushed at each change of lesson.
 
-    Whole buckets emitted by a row are the difference of two floors of the running
-    sum within the visitor's unbroken run on that lesson.
+    The whole buckets of a visitor's unbroken run on a lesson are those of its total, which is taken to
+    the microsecond: a sum that falls short of a bucket by rounding alone still fills it.
     """
     order = [t, tie]
     rows = plays.withColumn("_s", F.greatest(F.lit(0.0), F.col(seconds).cast("double")))
@@ -398,10 +398,8 @@ def play_buckets(plays: DataFrame, visitor: str, lesson: str, t: str, tie: str,
                               {"_before": F.col(lesson)}, strict=True)
     change = F.when(F.col("_before").isNull() | (F.col("_before") != F.col(lesson)), 1).otherwise(0)
     runs = ordered.running_sum(prev, [visitor], order, ordered.time_bucket(t, width_s), {"_run": change})
-    cum = ordered.running_sum(runs, [visitor, "_run"], order, ordered.time_bucket(t, width_s), {"_cum": F.col("_s")})
-    whole = F.floor(F.col("_cum") / size) - F.floor((F.col("_cum") - F.col("_s")) / size)
-    per = cum.withColumn("_whole", whole).groupBy(visitor, "_run", lesson).agg(
-        F.sum("_whole").cast("bigint").alias("buckets"), F.max("_cum").alias("_all"), F.min(t).alias("from_t"))
+    per = runs.groupBy(visitor, "_run", lesson).agg(F.round(F.sum("_s"), 6).alias("_all"), F.min(t).alias("from_t"))
+    per = per.withColumn("buckets", F.floor(F.col("_all") / size).cast("bigint"))
     rest = F.floor(F.col("_all") - F.floor(F.col("_all") / size) * size + 0.5).cast("bigint")
     return per.withColumn("rest_s", F.when(rest >= 1, F.least(rest, F.lit(size))).otherwise(0)).drop("_all", "_run")
 

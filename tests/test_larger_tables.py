@@ -1,6 +1,6 @@
 """Cases that the queries got wrong on larger tables, each as small as shows the fault."""
 
-from tempofold.operators import evalstats
+from tempofold.operators import evalstats, events
 
 
 def test_null_distribution_joins_no_replayed_rows(spark):
@@ -29,3 +29,10 @@ def test_null_distribution_joins_no_replayed_rows(spark):
     got = {r.key: r for r in out.collect()}
     assert abs(got["a"]["mean"] - brute("a")) < 1e-9 and got["a"]["mean"] > 0
     assert got["b"]["mean"] == 0 and got["b"].replicates == 50
+
+
+def test_play_buckets_of_sums_that_fall_short_by_rounding(spark):
+    rows = [("v", "a", float(i), i, 0.1) for i in range(300)]  # thirty seconds, 29.999999999999964 as a sum of doubles
+    df = spark.createDataFrame(rows, "visitor string, lesson string, t double, id int, s double")
+    got = events.play_buckets(df, "visitor", "lesson", "t", "id", "s", width_s=50.0).first()
+    assert (got.buckets, got.rest_s) == (1, 0)

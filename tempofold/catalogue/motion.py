@@ -356,7 +356,7 @@ def track_links(spark, d):
     e = events(spark, d)
     tr = e.groupBy((F.col("user_id") % 20).alias("clip"), "user_id", F.to_date("ts").alias("day")).agg(
         F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count("*").alias("frames"), F.min_by("value", "t").alias("first_x"), F.max_by("value", "t").alias("last_x"))
-    tr = tr.withColumn("track_id", F.round(F.col("user_id") * 1000000000 + F.col("first_t")).cast("bigint"))
+    tr = tr.withColumn("track_id", F.rint(F.col("user_id") * 1000000000 + F.col("first_t")).cast("bigint"))
     return motion.track_links(tr, "clip", 43200.0, 15.0, 2).select("clip", "b", "a")
 
 

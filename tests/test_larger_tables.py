@@ -1,5 +1,8 @@
 """Cases that the queries got wrong on larger tables, each as small as shows the fault."""
 
+import datetime as dt
+
+from tempofold.catalogue import QUERIES
 from tempofold.operators import evalstats, events
 
 
@@ -36,3 +39,14 @@ def test_play_buckets_of_sums_that_fall_short_by_rounding(spark):
     df = spark.createDataFrame(rows, "visitor string, lesson string, t double, id int, s double")
     got = events.play_buckets(df, "visitor", "lesson", "t", "id", "s", width_s=50.0).first()
     assert (got.buckets, got.rest_s) == (1, 0)
+
+
+def test_track_ids_are_rounded_half_to_even(spark, tmp_path):
+    at = lambda *a: dt.datetime(2024, 1, 1, *a)
+    user = 6020  # user * 1e9 + an even second and a half lies exactly between two ids
+    rows = [(i, t, user, "view", 1.0, '{"k": 1}') for i, t in enumerate([at(1, 0, 0, 500000), at(1, 0, 10)])]
+    rows += [(9 + i, t, 6040, "view", 1.0, '{"k": 1}') for i, t in enumerate([at(2, 0, 0, 500000), at(2, 0, 10)])]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    start = int(at(1).replace(tzinfo=dt.UTC).timestamp())
+    got = QUERIES["track_links"](spark, str(tmp_path)).first()
+    assert (got.a, got.b) == (6020 * 10**9 + start, 6040 * 10**9 + start + 3600)

@@ -121,6 +121,15 @@ def time_frames(df: DataFrame, keys: Sequence[str], t: str, halo_s: float, width
     return spread.withColumns(dict(made)).filter(F.col("_slot") == home).drop("_slot", "_ticks")
 
 
+def along(order: Sequence[str], ahead: bool) -> list[Column]:
+    """The order, or for looks ``ahead`` its exact reverse, in which they look back.
+
+    A frame that ends at unbounded following is read to its end for every row, so a slice would cost
+    the square of its rows; one from unbounded preceding is read once.
+    """
+    return [F.col(c).desc() if ahead else F.col(c).asc() for c in order]
+
+
 def carry_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
                values: Mapping[str, Column], ahead: bool = False, strict: bool = False) -> DataFrame:
     """Last non-null value at or before each row (first at or after when ``ahead``).
@@ -131,20 +140,14 @@ def carry_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket:
     by = [*keys, "_bucket"]
     place = F.struct(*cols(order))
     pick = F.min_by if ahead else F.max_by
-    last = F.first if ahead else F.last
     per = df.groupBy(*by).agg(*[
         pick(F.when(src.isNotNull(), src), F.when(src.isNotNull(), place)).alias(f"_s_{name}")
         for name, src in values.items()])
-    slices = W.partitionBy(*keys).orderBy("_bucket")
-    slices = slices.rowsBetween(1, W.unboundedFollowing) if ahead else slices.rowsBetween(BEFORE, -1)
-    summary = per.select(*by, *[last(f"_s_{name}", ignorenulls=True).over(slices).alias(f"_c_{name}")
+    slices = W.partitionBy(*keys).orderBy(*along(["_bucket"], ahead)).rowsBetween(BEFORE, -1)
+    summary = per.select(*by, *[F.last(f"_s_{name}", ignorenulls=True).over(slices).alias(f"_c_{name}")
                                 for name in values])
-    rows = W.partitionBy(*by).orderBy(*order)
-    if ahead:
-        rows = rows.rowsBetween(1 if strict else 0, W.unboundedFollowing)
-    else:
-        rows = rows.rowsBetween(BEFORE, -1 if strict else 0)
-    local = df.withColumns({f"_l_{name}": last(src, ignorenulls=True).over(rows)
+    rows = W.partitionBy(*by).orderBy(*along(order, ahead)).rowsBetween(BEFORE, -1 if strict else 0)
+    local = df.withColumns({f"_l_{name}": F.last(src, ignorenulls=True).over(rows)
                             for name, src in values.items()})
     out = _same_slice(local, summary, by)
     out = out.withColumns({name: F.coalesce(F.col(f"_l_{name}"), F.col(f"_c_{name}")) for name in values})
@@ -159,12 +162,12 @@ def carry_both(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket:
     place = F.when(src.isNotNull(), F.struct(*cols(order)))
     value = F.when(src.isNotNull(), src)
     per = df.groupBy(*by).agg(F.max_by(value, place).alias("_sb"), F.min_by(value, place).alias("_sa"))
-    slices = W.partitionBy(*keys).orderBy("_bucket")
-    summary = per.select(*by, F.last("_sb", ignorenulls=True).over(slices.rowsBetween(BEFORE, -1)).alias("_cb"),
-                         F.first("_sa", ignorenulls=True).over(slices.rowsBetween(1, W.unboundedFollowing)).alias("_ca"))
-    rows = W.partitionBy(*by).orderBy(*order)
-    local = df.withColumns({"_lb": F.last(src, ignorenulls=True).over(rows.rowsBetween(BEFORE, 0)),
-                            "_la": F.first(src, ignorenulls=True).over(rows.rowsBetween(0, W.unboundedFollowing))})
+    slices = lambda ahead: W.partitionBy(*keys).orderBy(*along(["_bucket"], ahead)).rowsBetween(BEFORE, -1)
+    summary = per.select(*by, F.last("_sb", ignorenulls=True).over(slices(False)).alias("_cb"),
+                         F.last("_sa", ignorenulls=True).over(slices(True)).alias("_ca"))
+    rows = lambda ahead: W.partitionBy(*by).orderBy(*along(order, ahead)).rowsBetween(BEFORE, 0)
+    local = df.withColumns({"_lb": F.last(src, ignorenulls=True).over(rows(False)),
+                            "_la": F.last(src, ignorenulls=True).over(rows(True))})
     out = _same_slice(local, summary, by)
     return out.withColumn(back, F.coalesce("_lb", "_cb")).withColumn(ahead, F.coalesce("_la", "_ca")).drop(
         "_bucket", "_lb", "_cb", "_la", "_ca")

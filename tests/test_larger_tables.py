@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tempofold.catalogue import QUERIES
-from tempofold.operators import evalstats, events, motion
+from tempofold.operators import evalstats, events, motion, ordered
 
 
 def test_null_distribution_joins_no_replayed_rows(spark):
@@ -67,3 +67,16 @@ def test_step_features_count_samples_of_one_moment(spark):
     steps = spark.createDataFrame([("k", 0, 0.0, 2.0), ("k", 1, 2.0, 4.0)], "key string, step int, ta double, tb double")
     got = {r.step: r.samples for r in motion.step_features(samples, steps, "key", ["a", "b"], 60.0).collect()}
     assert got == {0: 4, 1: 2}  # the sample at 2.0 belongs to both, the one at 4.0 once to the last, both at 0.0 count
+
+
+def test_looks_ahead_read_a_slice_once(spark):
+    df = spark.createDataFrame([("k", float(i), i if i % 4 == 1 else None) for i in range(40)], "key string, t double, v int")
+    ahead = ordered.carry_last(df, ["key"], ["t"], ordered.time_bucket("t", 7.0), {"x": F.col("v")}, ahead=True, strict=True)
+    both = ordered.carry_both(df, ["key"], ["t"], ordered.time_bucket("t", 7.0), F.col("v"))
+    for out in (ahead, both):
+        assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    marks = [i for i in range(40) if i % 4 == 1]
+    for r in ahead.collect():
+        assert r.x == min((m for m in marks if m > r.t), default=None)
+    for r in both.collect():
+        assert (r._back, r._ahead) == (max((m for m in marks if m <= r.t), default=None), min((m for m in marks if m >= r.t), default=None))

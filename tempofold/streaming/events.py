@@ -35,10 +35,17 @@ def _keyed(rows: DataFrame, keys: Sequence[str], processor, out: T.StructType, m
     return rows.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode=mode, timeMode=time)
 
 
-def capped(rows: DataFrame, cap: int = events.DAILY_CAP, at: str = "occurred_at", lateness: str = "1 hour") -> DataFrame:
-    """At most ``cap`` rows per visitor and UTC day, in time order within a micro-batch."""
-    daily = rows.withWatermark(at, lateness).withColumn("_day", F.floor(ordered.seconds(at) / 86400).cast("bigint"))
-    return _keyed(daily, ["visitor", "_day"], state.DailyCap(cap, rows.columns, at), rows.schema, time="EventTime")
+def _part(key: str, parts: int):
+    return F.pmod(F.hash(key), F.lit(parts))
+
+
+def capped(rows: DataFrame, cap: int = events.DAILY_CAP, at: str = "occurred_at", lateness: str = "1 hour", parts: int = 64) -> DataFrame:
+    """At most ``cap`` rows per visitor and UTC day, in time order within a micro-batch.
+
+    The visitors of a day are kept in ``parts`` values of the state; raise it beyond some millions a day.
+    """
+    daily = rows.withWatermark(at, lateness).withColumn("_day", F.floor(ordered.seconds(at) / 86400).cast("bigint")).withColumn("_part", _part("visitor", parts))
+    return _keyed(daily, ["_day", "_part"], state.DailyCap(cap, rows.columns, rows.schema["visitor"].dataType, at), rows.schema, time="EventTime")
 
 
 def limited(rows: DataFrame, key: str, limits: Sequence[tuple[float, int]], expire: bool = False) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Keyed state processors. State per key is a few numbers, or one window's accepted times."""
+"""Keyed state processors. State per key is a few numbers, one window's accepted times, or the numbers of a part of the keys."""
 
 from __future__ import annotations
 
@@ -17,26 +17,36 @@ def _in_order(rows: Iterator[pd.DataFrame], t: str) -> pd.DataFrame:
 
 
 class DailyCap(StatefulProcessor):
-    """Keep the first ``cap`` rows per (visitor, day number); a new day is a new key and starts at zero."""
+    """Keep the first ``cap`` rows per visitor and day number; a new day is a new key and starts at zero.
 
-    def __init__(self, cap: int, columns: list[str], t: str = "t"):
-        self.cap, self.columns, self.t = cap, columns, t
+    A key is (day, part): a part of the visitors, whose counts are one value. A call of the state costs
+    far more than a row, so keys are few and their rows are counted together.
+    """
+
+    def __init__(self, cap: int, columns: list[str], visitor: T.DataType, t: str = "t"):
+        self.cap, self.columns, self.visitor, self.t = cap, columns, visitor, t
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", T.StructType([T.StructField("n", T.LongType())]))
+        self.seen = handle.getValueState("seen", T.StructType([T.StructField("visitors", T.ArrayType(self.visitor)), T.StructField("n", T.ArrayType(T.LongType()))]))
 
     def handleInputRows(self, key, rows, timerValues):
-        n = self.seen.get()[0] if self.seen.exists() else None
-        if n is None:
-            n = 0
-            # The count is dropped once event time has passed the day's end.
-            self.handle.registerTimer((int(key[1]) + 1) * DAY_MS)
+        if self.seen.exists():
+            seen = dict(zip(*self.seen.get()))
+        else:
+            seen = {}
+            # The counts are dropped once event time has passed the day's end.
+            self.handle.registerTimer((int(key[0]) + 1) * DAY_MS)
         batch = _in_order(rows, self.t)
-        room = max(0, self.cap - n)
-        self.seen.update((n + min(room, len(batch)),))
-        if room:
-            yield batch[self.columns].head(room)
+        who = [None if pd.isna(v) else v for v in batch["visitor"].tolist()]
+        keep = []
+        for v in who:
+            n = seen.get(v, 0)
+            keep.append(n < self.cap)
+            seen[v] = min(n + 1, self.cap)
+        self.seen.update((list(seen), list(seen.values())))
+        if any(keep):
+            yield batch[self.columns][keep]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.seen.clear()

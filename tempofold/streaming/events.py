@@ -71,14 +71,17 @@ def stale_exports(status: DataFrame, watermark: str = "10 seconds") -> DataFrame
     return _keyed(rows, ["job_id"], state.StaleExport(jobs.EXPORT_STAGE), out, time="EventTime")
 
 
-def latest_status(status: DataFrame, keep_days: int | None = None) -> DataFrame:
-    """Newest status per job as an update stream.
+def latest_status(status: DataFrame, keep_days: int | None = None, parts: int = 1024) -> DataFrame:
+    """Newest status per job as an update stream; jobs are kept in ``parts`` values of the state.
 
     With ``keep_days`` a job that is silent so long is forgotten; that needs a trigger that goes on, since
-    a stream with a clock never runs out of batches.
+    a stream with a clock never runs out of batches, and each job is a key of its own.
     """
     rows = status.withColumn("updated_ms", F.unix_millis("updated_at"))
-    return _keyed(rows, ["job_id"], state.LatestStatus(status.columns, keep_days and keep_days * state.DAY_MS), status.schema, mode="update", time="ProcessingTime" if keep_days else "None")
+    if keep_days:
+        return _keyed(rows, ["job_id"], state.LatestStatus(status.columns, keep_days * state.DAY_MS), status.schema, mode="update", time="ProcessingTime")
+    rows = rows.withColumn("_part", _part("job_id", parts))
+    return _keyed(rows, ["_part"], state.LatestStatuses(status.columns, status.schema["job_id"].dataType), status.schema, mode="update")
 
 
 def daily_counts(log: DataFrame, lateness: str = "1 day") -> DataFrame:

@@ -196,3 +196,33 @@ class LatestStatus(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class LatestStatuses(StatefulProcessor):
+    """``LatestStatus`` of a part of the jobs, without expiry; their newest (retry_count, updated_ms) are one value, so that keys are few."""
+
+    def __init__(self, columns: list[str], job: T.DataType):
+        self.columns, self.job = columns, job
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        longs = T.ArrayType(T.LongType())
+        self.at = handle.getValueState("at", T.StructType([T.StructField("jobs", T.ArrayType(self.job)), T.StructField("retry", longs), T.StructField("ms", longs)]))
+
+    def handleInputRows(self, key, rows, timerValues):
+        known = {}
+        if self.at.exists():
+            jobs, retry, ms = self.at.get()
+            known = dict(zip(jobs, zip(retry, ms)))
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["retry_count", "updated_ms"], kind="stable").drop_duplicates("job_id", keep="last")
+        newer = []
+        for job, *at in zip(batch["job_id"].tolist(), batch["retry_count"].tolist(), batch["updated_ms"].tolist()):
+            job, at = None if pd.isna(job) else job, (int(at[0]), int(at[1]))
+            newer.append(job not in known or known[job] < at)
+            if newer[-1]:
+                known[job] = at
+        if any(newer):
+            self.at.update((list(known), [a for a, _ in known.values()], [b for _, b in known.values()]))
+            yield batch[self.columns][newer]
+
+    def close(self) -> None:
+        pass

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +108,18 @@ def test_forward_cap_holds_over_batches(spark, tmp_path):
     sent = []
     se.forward(s, lambda df, n: sent.extend(r.id for r in df.collect()), str(tmp_path / "fw"), cap=3, trigger={"availableNow": True}).awaitTermination(120)
     assert sorted(sent) == [1, 2, 3, 5]
+
+
+def test_visitors_and_jobs_share_few_state_values(spark, tmp_path):
+    who = ["u", "v", "w", None]
+    first = [(v, 10 * n + i, T(1, 1, i)) for i in range(3) for n, v in enumerate(who)]
+    second = [(v, 100 + 10 * n + i, T(d, 2, i)) for d in (1, 2) for i in range(2) for n, v in enumerate(who)]
+    s = _feed(spark, tmp_path / "a", "visitor string, id int, occurred_at timestamp", first, second)
+    got = Counter((r.visitor, r.occurred_at.day) for r in _run(se.capped(s, 4, lateness="1 day", parts=2), tmp_path / "a", "cap"))
+    assert got == {(v, d): 4 if d == 1 else 2 for v in who for d in (1, 2)}
+
+    sch = "job_id string, state string, retry_count bigint, updated_at timestamp"
+    s = _feed(spark, tmp_path / "b", sch, [(f"j{i}", "queued", 1, T(1, 2)) for i in range(9)],
+              [(f"j{i}", "failed", 0 if i % 3 else 2, T(1, 3)) for i in range(9)] + [("new", "queued", 0, T(1, 1))])
+    got = sorted((r.job_id, r.state) for r in _run(se.latest_status(s, parts=2), tmp_path / "b", "latest", "update"))
+    assert got == sorted([(f"j{i}", "queued") for i in range(9)] + [(f"j{i}", "failed") for i in (0, 3, 6)] + [("new", "queued")])

@@ -95,3 +95,12 @@ def test_nested_values_are_scrubbed_at_any_depth(spark):
     assert "1.5" in got[0] and got[0].count(mail) == 3  # a code key, a subtree under one, and a key itself
     back = df.filter("i = 0").select(nested.scrub_variant(F.parse_json("c")).alias("v")).select(F.to_json("v")).first()[0]
     assert json.loads(back) == want
+
+
+def test_nested_texts_are_cut_up_once(spark):
+    from tempofold.functions import nested
+
+    df = spark.createDataFrame([('{"a": "x"}',)], "c string").select(nested.scrub_json(F.concat("c", F.lit(" "))).alias("s"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2 and plan.count("concat(c#") == 1  # the text went to both functions
+    assert df.first().s == '{"a": "x"} '

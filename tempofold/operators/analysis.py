@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import counts as C
 from ..session import stored
@@ -58,7 +58,10 @@ def _described(steps: DataFrame, samples: DataFrame, scores: DataFrame, key: str
     spread = samples.select(key, "idx", "energy", F.explode(F.when(quarter == at, F.array(at, at - 1)).otherwise(F.array(at))).alias("q"))
     quarters = steps.select(key, "step", F.explode(F.sequence("a", F.col("b") - 1)).alias("q"))
     inside = spread.join(quarters, [key, "q"]).dropDuplicates([key, "step", "idx"])
-    g = inside.groupBy(key, "step").agg(F.count("*").alias("samples"), F.avg("energy").alias("mean_energy"), F.max("energy").alias("_top"))
+    # Summed in the order of time: steps with the same samples then have the same mean to the last bit, and compare so with the quantiles.
+    upto = W.partitionBy(key, "step").orderBy("idx").rowsBetween(ordered.BEFORE, 0)
+    mean = F.max_by("_upto", "idx") / F.nullif(F.count("energy"), F.lit(0))
+    g = inside.withColumn("_upto", F.sum("energy").over(upto)).groupBy(key, "step").agg(F.count("*").alias("samples"), mean.alias("mean_energy"), F.max("energy").alias("_top"))
     out = steps.join(g, [key, "step"], "left").withColumn("peakiness", F.col("_top") / (F.col("mean_energy") + 1e-6))
     ends = scores.select(key, F.col("q").alias("b"), F.col("score").alias("end_cue"), F.col("offset").alias("end_offset"))
     out = out.join(ends, [key, "b"], "left").withColumn("end_cue", F.coalesce("end_cue", F.lit(0.0))).drop("_top")

@@ -24,6 +24,28 @@ def value_bin(v: Column) -> Column:
     return F.when(v == 0, F.lit(0).cast("bigint")).otherwise(F.signum(v).cast("bigint") * size)
 
 
+def between(lo: Column, hi: Column, frac: Column) -> Column:
+    """lo * (1 - frac) + hi * frac with one rounding of the first product and the sum, as SQL's quantile_cont has it.
+
+    Values are compared with their group's quantile, so the last bit tells; the product's rounding error
+    comes from its factors' halves, the sum's from its terms.
+    """
+    rest, s = 1 - frac, hi * frac
+    p = lo * rest
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        big = x * 134217729.0
+        top = big - (big - x)
+        return top, x - top
+
+    (ah, al), (bh, bl) = halves(lo), halves(rest)
+    lost = ((ah * bh - p) + ah * bl + al * bh) + al * bl
+    t = p + s
+    z = t - p
+    exact = t + (((p - (t - z)) + (s - z)) + lost)
+    return F.when(frac == 0, lo).when(F.isnan(exact), p + s).otherwise(exact)
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float],
                     count: str | None = None) -> DataFrame:
     """One row per key with a column per named quantile (numpy's linear rule)."""
@@ -59,6 +81,6 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str
             for name in qs for side in (0, 1)}
     frac = {name: F.max(F.when(F.col("_a._q") == name, F.col("_a._frac"))) for name in qs}
     out = got.groupBy(*by).agg(
-        *[(part[n, 0] + frac[n] * (part[n, 1] - part[n, 0])).alias(n) for n in qs],
+        *[c.alias(f"_lo_{n}" if side == 0 else f"_hi_{n}") for (n, side), c in part.items()], *[c.alias(f"_f_{n}") for n, c in frac.items()],
         *([F.max("_a._all").alias(count)] if count else []))
-    return out
+    return out.select(*cols(by), *[between(F.col(f"_lo_{n}"), F.col(f"_hi_{n}"), F.col(f"_f_{n}")).alias(n) for n in qs], *([count] if count else []))

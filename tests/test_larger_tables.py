@@ -1,11 +1,14 @@
 """Cases that the queries got wrong on larger tables, each as small as shows the fault."""
 
 import datetime as dt
+import math
+import random
+from fractions import Fraction
 
 from pyspark.sql import functions as F
 
 from tempofold.catalogue import QUERIES
-from tempofold.operators import evalstats, events, motion, ordered
+from tempofold.operators import evalstats, events, motion, ordered, quantiles
 
 
 def test_null_distribution_joins_no_replayed_rows(spark):
@@ -80,3 +83,15 @@ def test_looks_ahead_read_a_slice_once(spark):
         assert r.x == min((m for m in marks if m > r.t), default=None)
     for r in both.collect():
         assert (r._back, r._ahead) == (max((m for m in marks if m <= r.t), default=None), min((m for m in marks if m >= r.t), default=None))
+
+
+def test_quantiles_have_the_last_bit_of_sql(spark):
+    rng = random.Random(4)
+    rows = [(n, rng.random() * 50) for n in range(2, 60) for _ in range(n)]
+    got = quantiles.exact_quantiles(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", {"a": 0.2, "b": 0.3, "c": 0.75})
+    for r in got.collect():
+        v = sorted(x for k, x in rows if k == r.k)
+        for q, x in ((0.2, r.a), (0.3, r.b), (0.75, r.c)):
+            h = q * (len(v) - 1)
+            lo, hi, d = v[math.floor(h)], v[math.ceil(h)], h - math.floor(h)
+            assert x == float(Fraction(lo) * Fraction(1 - d) + Fraction(hi * d))

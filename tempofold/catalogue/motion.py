@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import counts as C, quat as Q
 from ..operators import contract, grid, identity, motion, ordered, series
+from ..session import stored
 from .base import EV, events, query, table
 
 DAY = 86400.0
@@ -430,11 +431,14 @@ SEG = f"""WITH RECURSIVE {EV}, sco AS (SELECT user_id AS key, CAST(floor((t - {B
 
 @query("segmentation", SEG)
 def segmentation(spark, d):
-    """Nested cuts, beginner then intermediate; the SQL side tries every set of cuts."""
-    s = _scores(spark, d)
+    """Nested cuts, beginner then intermediate; the SQL side tries every set of cuts.
+
+    Scores and the first cuts are each read several times, so both are written once.
+    """
+    s = stored(_scores(spark, d), "quarter-scores")
     top = s.select("key", F.floor(F.col("q") / 16).alias("parent")).distinct().select(
         "key", "parent", (F.col("parent") * 16).alias("a"), (F.col("parent") * 16 + 16).alias("b"), F.lit(0.5).alias("spc"), F.lit(120.0).alias("bpm"))
-    first = motion.segment(top, s, "key", "beginner")
+    first = stored(motion.segment(top, s, "key", "beginner"), "beginner-cuts")
     inner = first.select("key", F.col("a").alias("parent"), "a", "b", F.lit(0.5).alias("spc"), F.lit(120.0).alias("bpm"))
     second = motion.segment(inner, s, "key", "intermediate")
     return first.select("key", F.lit("beginner").alias("level"), "a", "b").unionByName(second.select("key", F.lit("intermediate").alias("level"), "a", "b"))

@@ -95,3 +95,14 @@ def test_quantiles_have_the_last_bit_of_sql(spark):
             h = q * (len(v) - 1)
             lo, hi, d = v[math.floor(h)], v[math.ceil(h)], h - math.floor(h)
             assert x == float(Fraction(lo) * Fraction(1 - d) + Fraction(hi * d))
+
+
+def test_segmentation_reads_events_once(spark, tmp_path):
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=5 * i), 7, "view", float(i * 37 % 100), '{"k": 1}') for i in range(60)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    out = QUERIES["segmentation"](spark, str(tmp_path))
+    assert "user_id" not in out._jdf.queryExecution().optimizedPlan().toString()  # scores and the first cuts are read from where they were written
+    steps = out.orderBy("level", "a").collect()
+    for level in ("beginner", "intermediate"):
+        one = [(r.a, r.b) for r in steps if r.level == level]
+        assert one[0][0] == 0 and all(b == a for (_, b), (a, _) in zip(one, one[1:]))

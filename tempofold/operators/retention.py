@@ -147,9 +147,13 @@ def sweep(listing: DataFrame, uploads: DataFrame, now_s: Column, dry_run: bool =
 
 def deletion_plan(targets: DataFrame, results: DataFrame, uploads: DataFrame, objects: DataFrame, jobs: DataFrame,
                   index: DataFrame) -> DataFrame:
-    """Every stored thing of the targeted clips as (clip_id, store, item); tombstones stay."""
+    """Every stored thing of the targeted clips as (clip_id, store, item); tombstones stay.
+
+    The targets are the small side: their ids are hashed and the stores stream past them, where a merge
+    would have each task sort its share of every store.
+    """
     t = targets.select("clip_id").distinct()
-    pick = lambda df, store, item: df.join(t, "clip_id", "left_semi").select("clip_id", F.lit(store).alias("store"), F.col(item).cast("string").alias("item"))
+    pick = lambda df, store, item: df.select("clip_id", F.lit(store).alias("store"), F.col(item).cast("string").alias("item")).join(t.hint("shuffle_hash"), "clip_id", "left_semi")
     return (pick(owned(results).filter(F.col("part") != TOMBSTONE), "results", "path")
             .unionByName(pick(owned(uploads).filter(F.col("part") == "mp4"), "uploads", "path"))
             .unionByName(pick(object_owner(objects), "objects", "key"))

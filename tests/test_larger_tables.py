@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import functions as F
 
 from tempofold.catalogue import QUERIES
-from tempofold.operators import evalstats, events, motion, ordered, quantiles
+from tempofold.operators import evalstats, events, motion, ordered, quantiles, retention
 
 
 def test_null_distribution_joins_no_replayed_rows(spark):
@@ -106,3 +106,21 @@ def test_segmentation_reads_events_once(spark, tmp_path):
     for level in ("beginner", "intermediate"):
         one = [(r.a, r.b) for r in steps if r.level == level]
         assert one[0][0] == 0 and all(b == a for (_, b), (a, _) in zip(one, one[1:]))
+
+
+def test_deletion_plan_sorts_no_store(spark):
+    targets = spark.createDataFrame([("a",), ("b",), ("b",)], "clip_id string")
+    paths = spark.createDataFrame([("a.npz",), ("a.removed.json",), ("job_b.job-meta.json",), ("c.npz",)], "path string")
+    uploads = spark.createDataFrame([("b.mp4",), ("c.mp4",)], "path string")
+    keys = spark.createDataFrame([("video/a.mp4",), ("glb/c_track1.x.glb",)], "key string")
+    jobs = spark.createDataFrame([("a", 1), ("c", 2)], "clip_id string, job_id int")
+    index = spark.createDataFrame([("b", 5), ("b", 6), ("c", 7)], "clip_id string, entry_id int")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for targets too many to be broadcast
+    try:
+        out = retention.deletion_plan(targets, paths, uploads, keys, jobs, index)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        got = sorted(tuple(r) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == [("a", "jobs", "1"), ("a", "objects", "video/a.mp4"), ("a", "results", "a.npz"), ("b", "index", "5"), ("b", "index", "6"), ("b", "results", "job_b.job-meta.json"), ("b", "uploads", "b.mp4")]

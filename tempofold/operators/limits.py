@@ -9,12 +9,18 @@ into it, and what it accepts goes to the slices after it. All slices start at on
 from a guess (nothing accepted before them); those whose incoming rows turn out
 different run again, until none does. After a quiet day a slice depends on nothing,
 and the first slice that is not settled settles in every round.
+
+Where everybody's limit is reached day after day, that is one slice a round. So the rounds
+go over spans of several slices, and only look for accepted rows: these are few, and between
+two of them an address leaps over the attempts that its own or everybody's limit refuses.
+Codes and waits are told slice by slice at the end.
 """
 
 from __future__ import annotations
 
 import bisect
 import functools
+import heapq
 from collections import deque
 
 import numpy as np
@@ -28,7 +34,7 @@ from .events import GLOBAL_DAY, IP_DAY, IP_HOUR, MIN_WAIT_S, REMOVALS_DAY
 # The codes told to a refused client.
 EVERYBODY, ADDRESS, REMOVALS = "daily_limit_reached", "too_many_lessons", "too_many_removals"
 HOUR, DAY = 3_600_000_000, 86_400_000_000
-SLICE_ROWS = 200_000
+SLICE_ROWS, SPAN_SLICES = 200_000, 10
 HELD = "array<struct<at:bigint,address:string>>"
 
 
@@ -75,13 +81,80 @@ def decide(at: list[int], address: list, held: list[tuple[int, str]], hour: int,
     return flags, codes, waits
 
 
+def accepted_places(at: np.ndarray, address: pa.Array, held: list[tuple[int, str]], hour: int, day: int, everybody: int) -> list[int]:
+    """Places of the accepted attempts, as ``decide`` has them; refused ones are leapt over where an address makes many.
+
+    Every address waits at its first attempt that its own limits allow. The earliest of these is accepted,
+    or moves to the address's first attempt after somebody leaves everybody's day.
+    """
+    if not len(at) or min(hour, day, everybody) <= 0:
+        return []
+    coded = pa.array(address).dictionary_encode(null_encoding="encode")
+    names, who = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    by_who = np.argsort(who, kind="stable")
+    times_of, ends = at[by_who], np.cumsum(np.bincount(who, minlength=len(names))).tolist()
+    everyone: deque[int] = deque()
+    own: dict = {}
+
+    def accept(now, name):
+        everyone.append(now)
+        today, times = own.get(name, (None, None))
+        if today != now // DAY:
+            times = []
+            own[name] = (now // DAY, times)
+        times.append(now)
+
+    def leap(w, k, target):
+        return k + int(np.searchsorted(times_of[k:ends[w]], target))
+
+    def allowed(w, k):
+        while k < ends[w]:
+            now = int(times_of[k])
+            today, times = own.get(names[w], (None, ()))
+            if today != now // DAY or len(times) < hour:
+                if today != now // DAY or len(times) < day:
+                    return k
+            midnight = (now // DAY + 1) * DAY
+            if len(times) >= day:
+                k = leap(w, k, midnight)
+            elif times[-hour] + HOUR > now:
+                k = leap(w, k, min(times[-hour] + HOUR, midnight))
+            else:
+                return k
+        return None
+
+    def wait_at(w, k):
+        k = allowed(w, k)
+        if k is not None:
+            heapq.heappush(waiting, (int(by_who[k]), w, k))
+
+    for row in held:
+        accept(*row)
+    waiting: list[tuple[int, int, int]] = []
+    for w, begin in enumerate([0, *ends[:-1]]):
+        wait_at(w, begin)
+    places = []
+    while waiting:
+        place, w, k = heapq.heappop(waiting)
+        now = int(at[place])
+        while everyone and everyone[0] <= now - DAY:
+            everyone.popleft()
+        if len(everyone) >= everybody:
+            wait_at(w, leap(w, k, everyone[-everybody] + DAY))
+        else:
+            accept(now, names[w])
+            places.append(place)
+            wait_at(w, k + 1)
+    return places
+
+
 def _slice(rows: pa.Table, state: pa.Table, address: str, tie: list[str], only_accepted: bool, limits: tuple[int, int, int]) -> pa.Table:
     rows = rows.sort_by([("_at", "ascending"), *((c, "ascending") for c in tie)])
     held = [(h["at"], h["address"]) for h in state["held"][0].as_py()] if state.num_rows else []
-    flags, codes, waits = decide(rows["_at"].to_pylist(), rows["_who"].to_pylist(), held, *limits)
     if only_accepted:
-        kept = rows.filter(pa.array(flags, pa.bool_()))
-        return kept.select(["_slice", "_at", "_who"])
+        places = accepted_places(rows["_at"].to_numpy(), rows["_who"].combine_chunks(), held, *limits)
+        return rows.take(pa.array(places, pa.int64())).select(["_slice", "_at", "_who", "_part"])
+    flags, codes, waits = decide(rows["_at"].to_pylist(), rows["_who"].to_pylist(), held, *limits)
     return rows.drop_columns(["_slice", "_at", "_who"]).append_column("accepted", pa.array(flags, pa.bool_())).append_column("code", pa.array(codes, pa.string())).append_column("wait_s", pa.array(waits, pa.int64()))
 
 
@@ -96,12 +169,12 @@ def _incoming(accepted: DataFrame, spans: DataFrame) -> DataFrame:
     return met.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct(F.col("_at").alias("at"), F.col("_who").alias("address")))).alias("held"))
 
 
-def replay(rows: DataFrame, address: str, t: str, tie: list[str], hour: int = IP_HOUR, day: int = IP_DAY, everybody: int = GLOBAL_DAY, before: DataFrame | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def replay(rows: DataFrame, address: str, t: str, tie: list[str], hour: int = IP_HOUR, day: int = IP_DAY, everybody: int = GLOBAL_DAY, before: DataFrame | None = None, slice_rows: int = SLICE_ROWS, span_slices: int = SPAN_SLICES) -> DataFrame:
     """``rows`` with accepted, code and wait_s (seconds, null where accepted).
 
     ``t`` is in seconds; ``tie`` orders attempts of one time. An address counts within its UTC day only,
     since its hash changes at midnight; everybody counts over 24 hours. ``before`` has the accepted
-    attempts so far (address, t). A null address is an address; a null time is not allowed.
+    attempts so far (address, t). Rounds go over spans of ``span_slices`` slices. A null address is an address; a null time is not allowed.
     """
     if everybody < 0 or day < 0 or hour < 0:
         raise ValueError("limits are counts")
@@ -110,15 +183,16 @@ def replay(rows: DataFrame, address: str, t: str, tie: list[str], hour: int = IP
     n = timed.count()
     placed = timed.repartitionByRange(max(1, -(-n // slice_rows)), "_at", *tie).withColumn("_slice", F.spark_partition_id())
     placed = stored(placed, "limit-slices")
-    spans = stored(placed.groupBy(F.col("_slice").alias("slice")).agg(F.min("_at").alias("first")), "limit-spans")
-    past = None if before is None else before.select(F.lit(-1).alias("_slice"), F.round(F.col(t) * 1_000_000).cast("bigint").alias("_at"), F.col(address).cast("string").alias("_who"))
-    schema = T.StructType([placed.schema["_slice"], placed.schema["_at"], placed.schema["_who"]])
+    begins = lambda df: df.groupBy(F.col("_slice").alias("slice")).agg(F.min("_at").alias("first"))
+    narrow = placed.select(F.floor(F.col("_slice") / span_slices).cast("int").alias("_slice"), "_at", "_who", F.col("_slice").alias("_part"), *tie)
+    spans = stored(begins(narrow), "limit-spans")
+    past = None if before is None else before.select(F.lit(-1).alias("_slice"), F.round(F.col(t) * 1_000_000).cast("bigint").alias("_at"), F.col(address).cast("string").alias("_who"), F.lit(-1).alias("_part"))
+    schema = T.StructType([narrow.schema[c] for c in ("_slice", "_at", "_who", "_part")])
 
     def run(part: DataFrame, states: DataFrame, only_accepted: bool, out) -> DataFrame:
         fold = functools.partial(_slice, address=address, tie=list(tie), only_accepted=only_accepted, limits=limits)
         return part.groupBy("_slice").cogroup(states.groupBy("slice")).applyInArrow(lambda a, b: fold(a, b), out)
 
-    narrow = placed.select("_slice", "_at", "_who", *tie)
     states = stored(_incoming(past, spans) if past is not None else spans.sparkSession.createDataFrame([], f"slice int, held {HELD}"), "limit-states")
     accepted = stored(run(narrow, states, True, schema), "limit-accepted")
     while True:
@@ -131,6 +205,8 @@ def replay(rows: DataFrame, address: str, t: str, tie: list[str], hour: int = IP
         again = F.col("_slice") == F.col("slice")
         redone = run(narrow.join(changed, again, "left_semi"), states.join(changed, "slice", "left_semi"), True, schema)
         accepted = stored(accepted.join(changed, again, "left_anti").unionByName(redone), "limit-accepted")
+    known = (accepted if past is None else accepted.unionByName(past)).withColumn("_slice", F.col("_part"))
+    states = _incoming(known, begins(placed))
     out = T.StructType([*rows.schema.fields, T.StructField("accepted", T.BooleanType()), T.StructField("code", T.StringType()), T.StructField("wait_s", T.LongType())])
     return run(placed, states, False, out).select(*rows.columns, "accepted", "code", "wait_s")
 

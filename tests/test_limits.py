@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tempofold.operators import limits
@@ -82,3 +84,15 @@ def test_removals_begin_anew_at_midnight(spark):
     got = {r.id: (r.accepted, r.code, r.wait_s) for r in limits.removals(spark.createDataFrame(rows, SCHEMA), "ip", "t", ["id"], width_s=3.0).collect()}
     assert [i for i, (ok, *_) in got.items() if ok] and sorted(i for i, (ok, *_) in got.items() if ok) == [0, 1, 2, 3, 4, 9, 10, 11, 12, 13]
     assert got[5] == (False, limits.REMOVALS, 60) and got[15] == (False, limits.REMOVALS, DAY - 15)
+
+
+def test_accepted_places_are_those_of_the_fold():
+    rng = random.Random(11)
+    for _ in range(300):
+        n, span = rng.randrange(1, 400), rng.choice([2, 20, 80]) * limits.HOUR
+        at = sorted(rng.randrange(span) for _ in range(n))
+        address = [rng.choice([None, "a", "b", "c", "d"][: rng.choice([2, 5])]) for _ in range(n)]
+        held = sorted((rng.randrange(-limits.DAY + 1, 0), rng.choice("ab")) for _ in range(rng.randrange(12)))
+        rule = (rng.randrange(4), rng.randrange(8), rng.randrange(14))
+        want = [i for i, kept in enumerate(limits.decide(at, address, held, *rule)[0]) if kept]
+        assert limits.accepted_places(np.array(at), pa.array(address, pa.string()), held, *rule) == want

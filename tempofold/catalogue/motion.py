@@ -499,7 +499,7 @@ def step_features(spark, d):
     st = st.withColumn("ta", BASE + F.col("step") * F.lit(DAY)).withColumn("tb", F.col("ta") + DAY)
     f = motion.step_features(s, st, "key", ["a", "b"], DAY)
     return f.select("key", "step", "samples", F.round("mean_energy", 6).alias("mean_energy"), F.round("peakiness", 4).alias("peakiness"), F.round("dx", 4).alias("dx"),
-                    F.get("lead", F.lit(0)).alias("lead"), "level")
+                    F.col("most").alias("lead"), "level")
 
 
 @query("counts_motion", f"""WITH {EV}, s AS (SELECT user_id % 10 AS key, CAST(floor((t - {BASE}) / 14400) AS BIGINT) AS c, 2 * pi() * (t - {BASE}) / 14400 AS ph, value, k, k % 5 <> 0 AS ok, event_type FROM ev), l AS (SELECT key, quantile_cont(value, 0.75) AS lvl FROM s WHERE ok GROUP BY 1),

@@ -124,3 +124,13 @@ def test_deletion_plan_sorts_no_store(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert got == [("a", "jobs", "1"), ("a", "objects", "video/a.mp4"), ("a", "results", "a.npz"), ("b", "index", "5"), ("b", "index", "6"), ("b", "results", "job_b.job-meta.json"), ("b", "uploads", "b.mp4")]
+
+
+def test_step_features_keep_keys_without_a_spacing(spark, tmp_path):
+    at = dt.datetime(2024, 1, 2, 3)
+    rows = [(0, at, 1, "view", 10.0, '{"k": 40}')]  # one sample
+    rows += [(i, at, 2, "view", 10.0, '{"k": 4}') for i in (1, 2, 3)]  # all at one moment
+    rows += [(i, at + dt.timedelta(hours=i), 3, "view", 0.0, '{"k": 0}') for i in (4, 5)]  # nothing moves
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.key: (r.samples, r.lead) for r in QUERIES["step_features"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1, "b"), 2: (3, "a"), 3: (2, "a")}  # as SQL has them

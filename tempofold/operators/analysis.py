@@ -89,6 +89,8 @@ def analyse(samples: DataFrame, grids: DataFrame, key: str, components: Sequence
     else:
         marks = fast.select(key, "q").distinct().withColumn("fast", F.lit(True))
         positions = positions.join(marks, [key, "q"], "left").withColumn("fast", F.coalesce("fast", F.lit(False)))
+    # Written out: a plan takes spans laid out in quarters to be as small as the spans, and would broadcast them.
+    positions = stored(positions, "analysis-positions")
     widest = grids.agg(F.max("spc")).first()[0] or 1.0
     reach = F.when(F.col("level") < 3, F.col("spc") / 4).otherwise(F.col("spc") / 8)
     scored = series.grid_score(positions, cues, envelope, key, "t", reach, widest / 4, accent_reach=accent_reach)

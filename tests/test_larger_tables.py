@@ -5,11 +5,12 @@ import math
 import random
 from fractions import Fraction
 
+import pytest
 from pyspark.sql import functions as F
 
 from tempofold import session
 from tempofold.catalogue import QUERIES
-from tempofold.operators import evalstats, events, identity, motion, ordered, quantiles, retention
+from tempofold.operators import evalstats, events, identity, motion, ordered, quantiles, retention, series
 from tempofold.plans import check
 
 
@@ -201,6 +202,22 @@ def test_content_groups_are_settled_in_three_steps(spark):
     assert {r.vec_id: r.leader for r in identity.content_groups(df, "vec_id", "vec_id").collect()} == greedy
 
 
+def test_quarters_are_written_before_they_meet_samples(spark, tmp_path, monkeypatch):
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=7 * i), 7, "view", float(i * 37 % 100), '{"k": 1}') for i in range(40)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+
+    class Seen(Exception):
+        pass
+
+    def look(positions, *args, **kw):
+        raise Seen(positions._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(series, "grid_score", look)
+    with pytest.raises(Seen) as e:
+        QUERIES["analyse"](spark, str(tmp_path))
+    assert "Generate" not in str(e.value)  # the planner would take the quarters to be as few as the spans, and broadcast them
+
+
 def test_what_grows_with_the_input_is_not_broadcast(spark):
     limits = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
     before = {k: spark.conf.get(k, None) for k in limits}

@@ -36,9 +36,11 @@ def cut_cues(samples: DataFrame, key: str, components: Sequence[str]) -> DataFra
     speed = F.sqrt(sum((F.col(c) * F.col(c) for c in components), F.lit(0.0)))
     typical = exact_quantiles(samples.filter("ok").withColumn("_v", speed), [key], "_v", {"_med": 0.5})
     x = samples.join(spacing, key, "left").join(typical, key, "left")
-    # Half a count of rows either side, as many as the clip's rate makes of it.
-    x = stored(x.withColumn("_w", F.coalesce(F.greatest(F.lit(2), F.bround(F.col("spc") / 2 / F.col("_mdt")).cast("int")), F.lit(2))), "analysis-rates")
-    parts = [series.stop_cue(x.filter(F.col("_w") == r[0]), [key], "energy", int(r[0]), ok=F.col("ok")) for r in x.select("_w").distinct().collect()]  # sample rates are few
+    # Half a count of rows either side, as many as the clip's rate makes of it; the whole clip (0) where most samples share a moment or half a count is longer.
+    rows = F.bround(F.col("spc") / 2 / F.nullif(F.col("_mdt"), F.lit(0.0)))
+    whole = (F.col("_mdt") == 0) | ((rows >= ordered.RUN_ROWS) & (rows >= F.col("n")))
+    x = stored(x.withColumn("_w", F.when(whole, 0).otherwise(F.greatest(F.lit(2), F.coalesce(rows, F.lit(2.0)).cast("int")))), "analysis-rates")
+    parts = [series.stop_cue(x.filter(F.col("_w") == r[0]), [key], "energy", int(r[0]) or None, ok=F.col("ok")) for r in x.select("_w").distinct().collect()]  # sample rates are few
     if not parts:
         return x.withColumn("cue", F.lit(0.0)).drop("_w", "_med", "_mdt")
     both = parts[0]
@@ -79,8 +81,8 @@ def analyse(samples: DataFrame, grids: DataFrame, key: str, components: Sequence
     end_offset and sub_beat. Keys, times and grids must not be null; clips without a grid are left out.
     """
     s = stored(series.indexed(samples.join(grids, key), [key], "t", width_s=width_s, size="n"), "analysis-samples")
-    counts = motion.counts_motion(s, key, F.col("one"), F.col("spc"), music, width_s)
-    span, idle = dance_span(stored(counts, "analysis-counts"), key)
+    counts = motion.counts_motion(s, key, F.col("one"), F.col("spc"), music, width_s, lock=False)
+    span, idle = dance_span(stored(counts.select(key, "c", "why"), "analysis-counts"), key)
     span = stored(span.join(grids, key), "analysis-spans")
     cues = cut_cues(s, key, components)
     positions = span.select(key, "one", "spc", F.explode(F.sequence("q_start", "q_end")).alias("q")).withColumn("at", F.col("one") + F.col("q") * F.col("spc") / 4).withColumn("level", C.metrical(F.col("q")))
@@ -116,5 +118,4 @@ def analyse(samples: DataFrame, grids: DataFrame, key: str, components: Sequence
     out = levels[0]
     for more in levels[1:]:
         out = out.unionByName(more)
-    named = motion.label_quality(out, [key, "level"]).select(key, "level", "step", "quality")
-    return out.join(named, [key, "level", "step"], "left"), idle
+    return motion.label_quality(out, [key, "level"], keep=True), idle

@@ -173,6 +173,21 @@ def carry_both(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket:
         "_bucket", "_lb", "_cb", "_la", "_ca")
 
 
+def max_both(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, src: Column,
+             back: str = "_back", ahead: str = "_ahead") -> DataFrame:
+    """Greatest value strictly before and strictly after each row of its key, in one shuffle of the rows."""
+    df = df.withColumn("_bucket", bucket)
+    by = [*keys, "_bucket"]
+    per = df.groupBy(*by).agg(F.max(src).alias("_sm"))
+    slices = lambda ahead: W.partitionBy(*keys).orderBy(*along(["_bucket"], ahead)).rowsBetween(BEFORE, -1)
+    summary = per.select(*by, F.max("_sm").over(slices(False)).alias("_cb"), F.max("_sm").over(slices(True)).alias("_ca"))
+    rows = lambda ahead: W.partitionBy(*by).orderBy(*along(order, ahead)).rowsBetween(BEFORE, -1)
+    local = df.withColumns({"_lb": F.max(src).over(rows(False)), "_la": F.max(src).over(rows(True))})
+    out = _same_slice(local, summary, by)
+    return out.withColumn(back, F.greatest("_lb", "_cb")).withColumn(ahead, F.greatest("_la", "_ca")).drop(
+        "_bucket", "_lb", "_cb", "_la", "_ca")
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
                 values: Mapping[str, Column]) -> DataFrame:
     """Running sum up to and including each row, one output column per entry."""

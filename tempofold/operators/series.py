@@ -162,19 +162,25 @@ def peaks(df: DataFrame, keys: Sequence[str], value: str, reach: int = 2, quanti
         F.col(value) > F.col("_thr")).drop("_top", "_thr")
 
 
-def stop_cue(df: DataFrame, keys: Sequence[str], value: str, window: int, ok: Column | None = None, size: str = "n") -> DataFrame:
-    """Local minima scored by prominence against the lower of the two neighbouring maxima."""
+def stop_cue(df: DataFrame, keys: Sequence[str], value: str, window: int | None, ok: Column | None = None, size: str = "n") -> DataFrame:
+    """Local minima scored by prominence against the lower of the two neighbouring maxima; without a window, those of the whole key."""
     ok = F.lit(True) if ok is None else ok
+    x = F.col(value)
 
     def build(frame):
-        x = F.col(value)
-        ref = F.least(F.greatest(F.max(x).over(frame(-window, -1)), F.lit(0.0)),
-                      F.greatest(F.max(x).over(frame(1, window)), F.lit(0.0)))
         low = x <= F.min(x).over(frame(-2, 2))
-        inner = (F.col("idx") > 0) & (F.col("idx") < F.col(size) - 1)
-        return {"stop": F.when(inner & ok & low, F.greatest(F.lit(0.0), (ref - x) / (ref + 1e-6))).otherwise(0.0)}
-
-    return ordered.row_frames(df, keys, max(2, window), build)
+        if window is None:
+            return {"_low": low}
+        return {"_low": low, "_back": F.max(x).over(frame(-window, -1)), "_ahead": F.max(x).over(frame(1, window))}
+
+    halo = max(2, window or 0)
+    out = ordered.row_frames(df, keys, halo, build, run=max(ordered.RUN_ROWS, halo))
+    if window is None:
+        out = ordered.max_both(out, keys, ["idx"], ordered.index_bucket(), x)
+    ref = F.least(F.greatest("_back", F.lit(0.0)), F.greatest("_ahead", F.lit(0.0)))
+    inner = (F.col("idx") > 0) & (F.col("idx") < F.col(size) - 1)
+    stop = F.when(inner & ok & F.col("_low"), F.greatest(F.lit(0.0), (ref - x) / (ref + 1e-6))).otherwise(0.0)
+    return out.withColumn("stop", stop).drop("_low", "_back", "_ahead")
 
 
 def turn_cue(df: DataFrame, keys: Sequence[str], components: Sequence[str], median: Column, ok: Column | None = None,

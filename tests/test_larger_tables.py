@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tempofold import session
 from tempofold.catalogue import QUERIES
-from tempofold.operators import evalstats, events, identity, motion, ordered, quantiles, retention, series
+from tempofold.operators import analysis, evalstats, events, identity, motion, ordered, quantiles, retention, series
 from tempofold.plans import check
 
 
@@ -231,3 +231,28 @@ def test_what_grows_with_the_input_is_not_broadcast(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_stop_cues_where_most_samples_share_a_moment(spark):
+    rng = random.Random(3)
+    energy = [round(rng.random() * 9, 2) for _ in range(24)]
+    rows = [("k", i, 24, float(i // 6), e, True, 2.0, 1.0, 0.0) for i, e in enumerate(energy)]  # a spacing of 0
+    df = spark.createDataFrame(rows, "key string, idx bigint, n bigint, t double, energy double, ok boolean, spc double, p double, r double")
+
+    def stop(i):
+        if not 0 < i < 23 or energy[i] > min(energy[max(0, i - 2):i + 3]):
+            return 0.0
+        ref = min(max(energy[:i]), max(energy[i + 1:]))
+        return max(0.0, (ref - energy[i]) / (ref + 1e-6))
+
+    got = {r.idx: r.cue for r in analysis.cut_cues(df, "key", ["p", "r"]).collect()}
+    assert len(got) == 24 and all(abs(got[i] - stop(i)) < 1e-6 for i in got) and sum(map(stop, range(24))) > 0
+    whole = series.stop_cue(df, ["key"], "energy", None).collect()
+    assert {r.idx: r.stop for r in whole} == {r.idx: r.stop for r in series.stop_cue(df, ["key"], "energy", 24).collect()}
+
+
+def test_means_of_counts_are_summed_in_the_order_of_time(spark):
+    ks = [49, 39, 5, 41]  # a mean of 0.335: 0.34 as summed from the first, 0.33 from the last
+    rows = [("k", float(i), True, 1.0, k / 100, 1.0) for i, k in enumerate(ks)]
+    samples = spark.createDataFrame(spark.sparkContext.parallelize(rows[::-1], 1), "key string, t double, ok boolean, limb double, root double, music double")
+    assert motion.counts_motion(samples, "key", F.lit(0.0), F.lit(8.0)).first().root == 0.34
